@@ -71,3 +71,65 @@ def writers(trace: DataFrame, width: int = CHUNK) -> DataFrame:
         .select("a.trace_id", "a.seq", "a.chunk", "a.addr", F.coalesce("a.local", "b.carry").alias("writer"))
         .where(F.col("writer").isNotNull())
     )
+
+
+def lines(trace: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``trace_id, seq, k, v, value, ts``: one row per line; of its copies the greatest of each column.
+
+    ``value`` is the readable value of ``v`` or NULL.
+    """
+    rows = trace.where(F.col("seq").isNotNull())
+    if keys is not None:
+        rows = rows.where(F.col("k").isin(keys))
+    return (
+        rows.select("trace_id", "seq", "k", "v", parse_id("v").alias("value"), "ts")
+        .groupBy("trace_id", "seq")
+        .agg(*[F.max(c).alias(c) for c in ("k", "v", "value", "ts")])
+    )
+
+
+def before_chunk(df: DataFrame, keys: list[str], aggs: dict[str, tuple[Column, str]]) -> DataFrame:
+    """Per ``keys`` and chunk the state left by all earlier chunks.
+
+    ``aggs``: name -> (aggregate within a chunk, how chunks add up: ``sum``, ``max``,
+    ``min`` or ``last``). One row per key and chunk takes part.
+    """
+    per = df.groupBy(*keys, "chunk").agg(*[c.alias(n) for n, (c, _) in aggs.items()])
+    w = W.partitionBy(*keys).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    how = {"sum": F.sum, "max": F.max, "min": F.min, "last": lambda n: F.last(n, ignorenulls=True)}
+    return per.select(*keys, "chunk", *[how[h](n).over(w).alias(n) for n, (_, h) in aggs.items()])
+
+
+def join_null_safe(a: DataFrame, b: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """``a`` joined to ``b`` on ``keys`` with null equal to null; ``b`` brings its other columns."""
+    r = b.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in b.columns if c not in keys])
+    on = None
+    for k in keys:
+        c = a[k].eqNullSafe(r[f"_k_{k}"])
+        on = c if on is None else on & c
+    return a.join(r, on, how).drop(*[f"_k_{k}" for k in keys])
+
+
+def numbered(df: DataFrame, width: int = CHUNK) -> DataFrame:
+    """``df`` (``trace_id, seq, ...``, unique) with ``n``: the number of the row in its trace, from 1."""
+    c = with_chunk(df, width)
+    carry = before_chunk(c, ["trace_id"], {"_n": (F.count("*"), "sum")})
+    rows = join_null_safe(c, carry, ["trace_id", "chunk"])
+    return rows.withColumn("n", F.coalesce("_n", F.lit(0)) + F.row_number().over(in_chunk())).drop("_n", "chunk")
+
+
+#: Width of the pieces into which ranges of ``seq`` are cut to meet lines by an equi-join.
+PIECE = 64
+
+
+def rows_in_ranges(rows: DataFrame, ranges: DataFrame, keep: list[str], width: int = PIECE) -> DataFrame:
+    """Rows of ``rows`` (``trace_id, seq, ...``) with columns ``keep`` of each range (``trace_id, lo, hi``) holding their ``seq``.
+
+    Both ends belong to a range. Ranges are cut at multiples of ``width``, so a piece
+    meets at most ``width`` lines and a long trace is spread over all tasks.
+    """
+    cut = F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width)))
+    a = ranges.where(F.col("lo") <= F.col("hi")).select(F.col("trace_id").alias("_t"), "lo", "hi", *keep, cut.alias("_c"))
+    b = rows.withColumn("_c2", F.floor(F.col("seq") / width))
+    on = b["trace_id"].eqNullSafe(a["_t"]) & (b["_c2"] == a["_c"]) & b["seq"].between(a["lo"], a["hi"])
+    return b.join(a, on).drop("_t", "_c", "_c2", "lo", "hi")
