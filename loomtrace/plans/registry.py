@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from types import ModuleType
 
-from . import p1, p6, traces
+from . import flow, p1, p6, traces
 
 
 def modules() -> list[ModuleType]:
-    return [p1, p6, traces]
+    return [p1, p6, traces, flow]
