@@ -133,3 +133,14 @@ def rows_in_ranges(rows: DataFrame, ranges: DataFrame, keep: list[str], width: i
     b = rows.withColumn("_c2", F.floor(F.col("seq") / width))
     on = b["trace_id"].eqNullSafe(a["_t"]) & (b["_c2"] == a["_c"]) & b["seq"].between(a["lo"], a["hi"])
     return b.join(a, on).drop("_t", "_c", "_c2", "lo", "hi")
+
+
+def latest_before(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """``df`` (with ``seq`` and ``chunk``) with ``name``: the last non-null ``value`` in an earlier row of the same keys.
+
+    Windows cover one chunk of a key; one row per key and chunk carries the rest.
+    """
+    w = W.partitionBy(*keys, "chunk").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    last = F.max_by(value, F.when(F.col(value).isNotNull(), F.col("seq")))
+    carry = before_chunk(df, keys, {"_carry": (last, "last")})
+    return join_null_safe(df, carry, [*keys, "chunk"]).withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(w), "_carry")).drop("_carry")

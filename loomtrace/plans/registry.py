@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from types import ModuleType
 
-from . import flow, p1, p6, traces
+from . import dag, flow, p1, p6, traces
 
 
 def modules() -> list[ModuleType]:
-    return [p1, p6, traces, flow]
+    return [p1, p6, traces, flow, dag]
