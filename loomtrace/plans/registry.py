@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from types import ModuleType
 
-from . import dag, flow, p1, p6, traces
+from . import dag, files, flow, p1, p6, program, traces
 
 
 def modules() -> list[ModuleType]:
-    return [p1, p6, traces, flow, dag]
+    return [p1, p6, traces, flow, dag, program, files]
