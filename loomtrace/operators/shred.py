@@ -74,7 +74,8 @@ def shred(record: dict | None, schema: Group) -> dict[str, Column]:
     ancestor count its instances alike.
     """
     out: dict[str, Column] = {}
-    limit = _depth(schema, record)
+    # one level more than the record has, so that its innermost lists leave their null or empty mark
+    limit = _depth(schema, record) + 1
     nulls: dict[tuple[int, str, int], list[Column]] = {}
 
     def leaves(node: object, path: str, depth: int) -> list[Column]:
@@ -165,9 +166,9 @@ def shred_table(df: DataFrame, text: str, reader: Callable[[str | None], dict |
     """``df`` without column ``text`` but with ``levels``: the leaf columns of each row's record.
 
     ``reader`` turns the text into a record of ``schema``; where it gives None the row
-    stays and ``levels`` is empty. Records are read one at a time in Arrow batches.
+    stays and ``levels`` is empty. A column that was called ``levels`` is replaced. Records are read one at a time in Arrow batches.
     """
-    keep = [c for c in df.columns if c != text]
+    keep = [c for c in df.columns if c not in (text, "levels")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

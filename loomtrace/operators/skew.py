@@ -31,6 +31,7 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], share: float = HEAVY_SHARE, f
 
 def tag_heavy(df: DataFrame, keys: Sequence[str], heavy: DataFrame) -> DataFrame:
     """``df`` with ``_heavy``, by a broadcast join with the bounded list of heavy keys."""
+    df = df.drop("_hit", "_heavy", *[f"_h_{k}" for k in keys])
     h = heavy.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.lit(True).alias("_hit"))
     on = None
     for k in keys:
@@ -46,11 +47,14 @@ def changes(df: DataFrame, keys: Sequence[str], order: str, segment: str, value:
     The first row of a key is no change. ``segment`` must not decrease with ``order``;
     it cuts the rows of heavy keys into pieces. A piece finds the changes inside it;
     its first row is compared with the last value of the piece before, out of a table
-    with one row per heavy key and piece. ``value`` must not be null and ``order``
-    unique within a key.
+    with one row per heavy key and piece. Rows whose ``order`` or ``value`` is null take
+    no part; rows of one key with the same ``order`` are copies and count once, with the
+    smallest value. A null key is a key. The result has the columns named, no others.
     """
+    df = df.where(F.col(order).isNotNull() & F.col(value).isNotNull()).select(*keys, order, segment, value)
     tagged = tag_heavy(df, keys, heavy).withColumn("_part", F.when(F.col("_heavy"), F.col(segment)))
-    w = W.partitionBy(*keys, "_part").orderBy(order)
+    w = W.partitionBy(*keys, "_part").orderBy(order, value)
+    tagged = tagged.withColumn("_again", F.col(order).eqNullSafe(F.lag(order).over(w))).where(~F.col("_again")).drop("_again")
     seen = tagged.withColumn("_before", F.lag(value).over(w))
     inside = seen.where(F.col("_before") != F.col(value)).select(*df.columns)
     pieces = (
@@ -71,7 +75,8 @@ def aggregate(df: DataFrame, keys: Sequence[str], partial: dict[str, Column], fi
     """``groupBy(keys)`` in which heavy keys are first aggregated in ``salts`` pieces each.
 
     ``partial``: aggregates over rows; ``final``: aggregates over the partial columns
-    of the same name. ``spread`` are the columns whose hash picks the piece.
+    of the same name. ``spread`` are the columns whose hash picks the piece. A null key
+    is a key; ``_salt``, ``_heavy`` and ``_hit`` are not to be used as names.
     """
     tagged = tag_heavy(df, keys, heavy)
     pieces = (

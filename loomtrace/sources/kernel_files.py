@@ -172,8 +172,12 @@ def kernel_rows(levels: DataFrame, keys: list[str]) -> DataFrame:
     """Flat rows of all tables: ``keys`` and ``child`` (``kernel``, ``block`` or ``label``), ``kid``, ``outer_kid``, ``depth``, ``item``.
 
     ``kid`` is the outer kernels' keys and the kernel's own, joined by ``/``: the parent
-    key of block and label rows, as the columns ``keys`` are of kernel rows.
+    key of block and label rows, as the columns ``keys`` are of kernel rows. ``keys`` must
+    not have these names. Files stored twice give their rows twice; a file that gives
+    nothing gives none.
     """
+    if set(keys) & {"child", "kid", "outer_kid", "depth", "item"}:
+        raise ValueError("a key has the name of a result column")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
