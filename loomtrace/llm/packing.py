@@ -98,7 +98,8 @@ def pack(items: DataFrame, item: str, size: str, capacities: Sequence[tuple[str,
     out = "pack string, shard int, container bigint, item bigint, part int, start bigint, tokens bigint"
     if not kinds:
         return spark.createDataFrame([], out)
-    one = items.select(F.col(item).cast("bigint").alias("item"), F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias("size"))
+    # as text on the way through pandas, where a null would turn large numbers into floats
+    one = items.select(F.col(item).cast("bigint").cast("string").alias("item"), F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias("size"))
     one = one.withColumn("shard", F.pmod(F.xxhash64("item", F.lit(17)), F.lit(shards)).cast("int"))
     packs = F.array(*[F.struct(F.lit(p).alias("pack"), F.lit(c).alias("capacity")) for p, c in kinds])
     rows = one.select("item", "size", "shard", F.explode(packs).alias("p")).select("item", "size", "shard", "p.pack", "p.capacity")
@@ -106,7 +107,7 @@ def pack(items: DataFrame, item: str, size: str, capacities: Sequence[tuple[str,
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "item"])
         cap = int(pdf["capacity"].iloc[0])
-        ids, sizes = pdf["item"].tolist(), pdf["size"].tolist()
+        ids, sizes = [None if x is None else int(x) for x in pdf["item"]], pdf["size"].tolist()
         whole = [s // cap if s > cap else 0 for s in sizes]
         rests = [s - w * cap for s, w in zip(sizes, whole)]
         # pieces cut off larger items fill their containers alone; so does a rest of 0
@@ -122,7 +123,8 @@ def pack(items: DataFrame, item: str, size: str, capacities: Sequence[tuple[str,
             for p in range(w):
                 got.append((c, ids[i], p, p * cap, cap))
                 c += 1
-        df = pd.DataFrame(got, columns=["container", "item", "part", "start", "tokens"])
+        df = pd.DataFrame(got, columns=["container", "item", "part", "start", "tokens"], dtype=object)
+        df["item"] = pd.array([x[1] for x in got], dtype="Int64")
         df.insert(0, "shard", pdf["shard"].iloc[0])
         df.insert(0, "pack", pdf["pack"].iloc[0])
         return df

@@ -143,8 +143,8 @@ SUSPECT = 1e-4
 
 
 def with_statistics(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with the columns ``STATS`` in place of ``text``."""
-    keep = [c for c in df.columns if c != text]
+    """``df`` with the columns ``STATS`` in place of ``text``; columns that had these names are replaced."""
+    keep = [c for c in df.columns if c != text and c not in STATS]
     kinds = dict(df.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +255,8 @@ def fit(stats: DataFrame, steps: int = STEPS) -> Mixture | None:
 
 
 def classify(stats: DataFrame, g: Mixture) -> DataFrame:
-    """``stats`` with ``p_<class>`` for each class and ``kind``, the likeliest."""
+    """``stats`` with ``p_<class>`` for each class and ``kind``, the likeliest; columns that had these names are replaced."""
+    stats = stats.drop("kind", *(f"p_{c}" for c in CLASSES))
     cols = stats.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,8 +28,11 @@ def encoder(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY):
 
 
 def with_tokens(df: DataFrame, text: str, name: str = "n_tokens", folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``df`` with the number of tokens (BIGINT) of the whole of ``text`` in its place. A null text has 0."""
-    keep = [c for c in df.columns if c != text]
+    """``df`` with the number of tokens (BIGINT) of the whole of ``text`` in its place.
+
+    A null or empty text has 0. A column that was called ``name`` is replaced.
+    """
+    keep = [c for c in df.columns if c not in (text, name)]
     kinds = dict(df.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
