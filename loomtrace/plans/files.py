@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import urlparse
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,24 +17,21 @@ from .traces import kernel_blocks
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder beside the checkpoints, which all executors see; as a path of the file system."""
-    import uuid
-
+    """Address of a new folder beside the checkpoints, which all executors see."""
     ensure_checkpoint_dir(spark)
-    root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{root.removeprefix('file:')}/{name}-{uuid.uuid4().hex}".replace("//", "/")
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
 def trace_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """The trace's lines written as raw files and read again."""
-    path = _folder(spark, "traces")
+    """The trace's lines written as raw files and read again; the shared folder must be one of a (mounted) file system."""
+    path = urlparse(_folder(spark, "traces")).path
     write_traces(lines(table(spark, folder, "trace")), path)
     return read_traces(spark, f"file://{path}")
 
 
 def papi_counters(spark: SparkSession, folder: str) -> DataFrame:
     """Numbers of lines by key as a counter file, read again and added up by event."""
-    path = f"file://{_folder(spark, 'counters')}"
+    path = _folder(spark, "counters")
     write_counters(table(spark, folder, "trace").groupBy(F.col("k").alias("event")).agg(F.count("*").alias("value")), path)
     return read_counters(spark, path).groupBy("event").agg(F.sum("value").alias("value"))
 

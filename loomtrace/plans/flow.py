@@ -186,6 +186,22 @@ nest AS (SELECT b.kernel_id AS parent_id, a.kernel_id FROM kt AS a JOIN kt AS b
   JOIN n AS nb ON nb.kernel_id = b.kernel_id WHERE na.n < nb.n GROUP BY 1, 2, na.n HAVING count(*) = na.n),
 small AS (SELECT trace_id, block_id, arg_min(kt.kernel_id, row(n, kt.kernel_id)) AS kernel_id FROM kt JOIN n ON n.kernel_id = kt.kernel_id GROUP BY 1, 2)"""
 
+_CLOSURE = f"""WITH RECURSIVE {KB}, kx AS (SELECT DISTINCT kernel_id, block_id FROM kb), e AS (SELECT DISTINCT src, dst, kind FROM edges), b AS (SELECT block_id, func_id, coalesce(is_entry, false) AS entry, term_kind FROM blocks),
+i AS (SELECT DISTINCT a.kernel_id, src, dst FROM kx AS a JOIN e ON e.src = a.block_id JOIN kx AS b ON b.kernel_id = a.kernel_id AND b.block_id = e.dst),
+r(kernel_id, s, d) AS (SELECT kernel_id, src, dst FROM i UNION SELECT r.kernel_id, r.s, i.dst FROM r JOIN i ON i.kernel_id = r.kernel_id AND i.src = r.d),
+su AS (SELECT kx.kernel_id, src, dst, m.block_id IS NOT NULL AS inside, src = dst OR r.s IS NOT NULL AS back FROM kx JOIN e ON src = kx.block_id AND kind = 'succ'
+  LEFT JOIN kx AS m ON m.kernel_id = kx.kernel_id AND m.block_id = dst LEFT JOIN r ON r.kernel_id = kx.kernel_id AND r.s = dst AND r.d = src),
+cond AS (SELECT DISTINCT kernel_id, src AS block_id FROM su WHERE NOT inside OR NOT back),
+calls AS (SELECT DISTINCT func_id, src FROM e JOIN b ON block_id = dst AND entry WHERE kind = 'call'),
+pre AS (SELECT src, dst FROM e JOIN b AS x ON x.block_id = src JOIN b AS y ON y.block_id = dst AND y.func_id = x.func_id WHERE kind = 'succ'),
+w(kernel_id, start, cur) AS (SELECT kernel_id, kx.block_id, kx.block_id FROM kx JOIN b ON b.block_id = kx.block_id AND NOT entry
+  UNION SELECT w.kernel_id, start, src FROM w JOIN pre ON dst = cur LEFT JOIN kx AS m ON m.kernel_id = w.kernel_id AND m.block_id = src WHERE m.block_id IS NULL),
+ent AS (SELECT DISTINCT kernel_id, start AS block_id FROM w JOIN b ON b.block_id = cur AND entry
+  UNION SELECT kx.kernel_id, kx.block_id FROM kx JOIN b ON b.block_id = kx.block_id AND entry JOIN calls USING (func_id) LEFT JOIN kx AS m ON m.kernel_id = kx.kernel_id AND m.block_id = calls.src
+  GROUP BY 1, 2 HAVING count(m.block_id) = 0)"""
+_EXITS = """xc AS (SELECT kernel_id, dst AS block_id FROM kx JOIN e ON src = block_id AND kind = 'succ'
+  UNION SELECT kernel_id, calls.src FROM kx JOIN b ON b.block_id = kx.block_id AND term_kind = 'ret' JOIN calls ON calls.func_id = b.func_id), ex AS (SELECT * FROM xc ANTI JOIN kx USING (kernel_id, block_id))"""
+
 QUERIES = {
     f.__name__: f
     for f in (block_ids, adjacency_dump, dot_edges, type3_kernels, type4_kernels, type35_kernels, reachable, self_reachable, kernel_entrances, kernel_exits, function_exits,
@@ -210,6 +226,14 @@ SELECT kernel_id, s AS base, d AS block_id FROM r""",
 o AS (SELECT kernel_id, dst AS block_id FROM kx JOIN e ON src = block_id AND kind = 'succ' UNION SELECT kernel_id, c.src FROM kx JOIN blocks AS b ON b.block_id = kx.block_id AND term_kind = 'ret' JOIN c ON c.func_id = b.func_id)
 SELECT * FROM o ANTI JOIN kx USING (kernel_id, block_id)""",
     "function_exits": "SELECT DISTINCT s.func_id, e.dst AS block_id FROM edges AS e JOIN blocks AS s ON s.block_id = src JOIN blocks AS d ON d.block_id = dst WHERE kind = 'succ' AND s.func_id <> d.func_id",
+    "kernel_conditionals": f"{_CLOSURE} SELECT * FROM cond",
+    "kernel_entrances": f"{_CLOSURE} SELECT * FROM ent",
+    "entrance_functions": f"{_CLOSURE} SELECT kernel_id, count(DISTINCT func_id) AS functions, count(DISTINCT func_id) = 1 AS single FROM ent JOIN b USING (block_id) GROUP BY 1",
+    "verify_kernels": f"""{_CLOSURE}, {_EXITS}, n AS (SELECT kernel_id, count(*) AS n FROM kx GROUP BY 1), cy AS (SELECT kernel_id, count(*) AS n FROM r WHERE s = d GROUP BY 1),
+en AS (SELECT kernel_id, count(*) AS n FROM ent GROUP BY 1), co AS (SELECT kernel_id, count(*) AS n FROM cond GROUP BY 1), xn AS (SELECT kernel_id, count(*) AS n FROM ex GROUP BY 1),
+ep AS (SELECT DISTINCT kernel_id FROM su WHERE inside AND NOT back)
+SELECT n.kernel_id, n.n = coalesce(cy.n, 0) AS valid, coalesce(en.n, 0) AS entrances, coalesce(co.n, 0) AS conditionals, ep.kernel_id IS NOT NULL AS epilogue, coalesce(xn.n, 0) AS exits
+FROM n LEFT JOIN cy USING (kernel_id) LEFT JOIN en USING (kernel_id) LEFT JOIN co USING (kernel_id) LEFT JOIN xn USING (kernel_id) LEFT JOIN ep USING (kernel_id)""",
     "final_kernels": f"""WITH {KB}, s AS (SELECT DISTINCT trace_id, blocks FROM (SELECT kernel_id, trace_id, list_sort(list(DISTINCT block_id)) AS blocks FROM kb WHERE stage = 'TypeThreeFive' AND trace_id IS NOT NULL GROUP BY 1, 2))
 SELECT trace_id, blocks, row_number() OVER (PARTITION BY trace_id ORDER BY blocks) - 1 AS kid FROM s""",
     "kernel_nesting": f"{_NEST} SELECT parent_id, kernel_id FROM nest",

@@ -16,7 +16,7 @@ def _source(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _place(spark: SparkSession) -> tuple[str, str]:
-    at = f"file://{_folder(spark, 'stream')}"
+    at = _folder(spark, "stream")
     return f"{at}/data", f"{at}/state"
 
 
