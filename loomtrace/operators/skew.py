@@ -25,8 +25,8 @@ def heavy_keys(df: DataFrame, keys: Sequence[str], share: float = HEAVY_SHARE, f
     An empty sample (small tables) gives no heavy keys. Null is a key like others.
     """
     sample = df.select(*keys).sample(False, fraction, seed).groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = sample.agg(F.sum("_n").alias("_total"))
-    return sample.join(F.broadcast(total), F.col("_n") >= F.greatest(F.lit(2.0), F.lit(share) * F.col("_total"))).select(*keys)
+    total = sample.agg(F.sum("_n")).scalar()
+    return sample.where(F.col("_n") >= F.greatest(F.lit(2.0), F.lit(share) * F.coalesce(total, F.lit(0)))).select(*keys)
 
 
 def tag_heavy(df: DataFrame, keys: Sequence[str], heavy: DataFrame) -> DataFrame:
