@@ -132,5 +132,5 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     t = targets.groupBy("source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     all_ = t.join(per, "source", "left").select("source", "target_share", "max_repeats", zero("size").alias("size"), zero("used").alias("used"), zero("most_uses").alias("most_uses"))
-    total = per.agg(F.sum("used").alias("total"))
-    return all_.join(F.broadcast(total)).select("source", "target_share", F.round(F.col("used") / F.nullif("total", F.lit(0)), 6).alias("share"), "max_repeats", "most_uses", "size", "used")
+    total = per.agg(F.sum("used")).scalar()
+    return all_.select("source", "target_share", F.round(F.col("used") / F.nullif(total, F.lit(0)), 6).alias("share"), "max_repeats", "most_uses", "size", "used")

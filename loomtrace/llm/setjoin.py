@@ -141,8 +141,8 @@ def _by_rarity(classes: DataFrame) -> DataFrame:
     """``class_id, size, items`` with the rarest item first (ties by the item)."""
     long = classes.select("class_id", F.explode("items").alias("x"))
     counts = long.groupBy("x").agg(F.count("*").alias("n"))
-    total = classes.agg(F.count("*").alias("total"))
-    counts = counts.join(F.broadcast(total)).withColumn("frequent", F.col("n") > F.greatest(F.lit(100.0), F.lit(FREQUENT) * F.col("total"))).drop("total")
+    total = classes.agg(F.count("*")).scalar()
+    counts = counts.withColumn("frequent", F.col("n") > F.greatest(F.lit(100.0), F.lit(FREQUENT) * total))
     # at most (mean set size / FREQUENT) frequent items, whose rows would otherwise meet in a few tasks
     hot = counts.where("frequent").select(F.col("x").alias("hx"), F.col("n").alias("hn"))
     tagged = long.join(F.broadcast(hot), F.col("x") == F.col("hx"), "left")
@@ -167,8 +167,8 @@ def similar_classes(classes: DataFrame, num: int, den: int, shard: int = SHARD)
     prefix = F.col("size") - F.ceil(F.col("size") * num / F.lit(float(den)) - F.lit(1e-9)).cast("int") + 1
     keyed = sets.select("class_id", "items", band.alias("band"), F.posexplode(F.slice("items", F.lit(1), prefix)).alias("pos", "x"))
     groups = keyed.groupBy("x", "band").agg(F.count("*").alias("n"))
-    bound = groups.agg((F.sum("n") / F.lit(MOST_SPLIT)).alias("bound"))
-    split = groups.where(F.col("n") > shard).join(F.broadcast(bound)).where(F.col("n") > F.col("bound"))
+    bound = groups.agg(F.sum("n") / F.lit(MOST_SPLIT)).scalar()
+    split = groups.where(F.col("n") > shard).withColumn("bound", bound).where(F.col("n") > F.col("bound"))
     split = split.select(F.col("x").alias("sx"), F.col("band").alias("sband"), F.ceil(F.col("n") / F.greatest(F.lit(float(shard)), "bound")).cast("int").alias("shards"))
 
     def shards(df: DataFrame) -> DataFrame:
