@@ -5,9 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = Path(__file__).resolve().parent
+
 
 def local_session(cores: str = "8", name: str = "loomtrace") -> SparkSession:
     """A session for tests and benchmarks on one machine. A cluster brings its own."""
@@ -26,17 +30,53 @@ def local_session(cores: str = "8", name: str = "loomtrace") -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once a session, unless it is installed or on ``PYTHONPATH``."""
+    root = str(PACKAGE.parent)
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if PACKAGE.parent.name in ("site-packages", "dist-packages") or root in paths or not PACKAGE.is_dir():
+        return
+    sc = spark.sparkContext
+    if getattr(sc, "_loomtrace_shipped", False):
+        return
+    # Spark serves the driver's file to all executors
+    path = os.path.join(sc._temp_dir, f"{PACKAGE.name}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(PACKAGE.rglob("*.py")):
+            z.write(p, p.relative_to(PACKAGE.parent))
+    sc.addPyFile(path)
+    sc._loomtrace_shipped = True
+
+
+def _tidy(spark: SparkSession) -> None:
+    """Have the session's own folder below the checkpoint folder deleted when the driver ends."""
+    sc = spark.sparkContext
+    own = sc._jvm.org.apache.hadoop.fs.Path(sc._jsc.sc().getCheckpointDir().get())
+    own.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(own)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where nothing is set (tests, one machine) a temporary folder is taken,
-    because a folder of one machine is unreadable for the others.
+    Only a ``local`` master without such a setting (tests, one machine) gets a temporary
+    folder; on a cluster that would be unreadable for the other machines, so it is an
+    error. What a session writes there lies in a folder of its own, which goes with it.
     """
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loomtrace-checkpoint-"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loomtrace-checkpoint-"))
+    if not getattr(sc, "_loomtrace_tidy", False):
+        _tidy(spark)
+        sc._loomtrace_tidy = True
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """Address of a new folder beside the checkpoints, which all executors see."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -48,8 +88,7 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` as a Parquet table in the shared checkpoint folder, and its path for ``discard``."""
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "table")
     df.write.parquet(path)
     return spark.read.parquet(path), path
 
