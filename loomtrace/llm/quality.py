@@ -1,157 +1,88 @@
-"""Text quality statistics per document, and what they tell (problem 9).
-
-Statistics of the whole text are taken in one pass. A Gaussian mixture with diagonal
-covariances is fitted to the standardised statistics of all documents by expectation
-maximisation: each step sends every partition's sufficient statistics, never rows, to
-the driver. Its components start at the inspected examples below and are mapped to
-prose, list, table or junk by the examples they are responsible for.
+"""Text quality of documents, and what it tells (problem 9).
+
+Statistics of whole texts (``text_stats``) are taken in two passes: the first learns the
+common words of each group of documents, the second counts. A Gaussian mixture with
+diagonal covariances is fitted to the standardised statistics of all documents by
+expectation maximisation: each step sends every partition's sufficient statistics, never
+rows, to the driver. Its components start at inspected documents (``examples``) and are
+mapped to prose, list, table or junk by the examples they are responsible for; the class
+of a document is that of its likeliest components, and nothing else decides it.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Set
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CLASSES = ("prose", "list", "table", "junk")
-
-# Common words of English, German, Spanish and French. Words that also occur
-# as syllables of invented names (im, del, or, lo, qui, mi, ...) are not among them.
-COMMON = frozenset(
-    """the of and to in is was are were be been by for from with that which who when while although after before at on as an it its
-    they their he she this these those there more than most much only also about each other some many but not has have had into during both
-    der die das den dem des ein eine einen einem einer und oder aber nicht ist war sind waren wird wurde wurden hat haben von vom zu zum zur
-    auf am mit aus bei nach für über durch als wie auch noch nur mehr sich wenn weil dass viele vor bis zwischen man heute damals
-    el la de si no los las una unos unas y pero es era son fue fueron ser han al en con por para desde hasta entre sobre como más muy también se su sus
-    aunque cuando donde hay cada este esta otro otra año que
-    le les un une et ou mais ne pas est était sont été être a ont du au aux dans avec par pour depuis sur comme plus très aussi
-    sa ses il elle ils elles on où quand bien chaque ce cette près""".split()
-)
-SYMBOLS = "|{}<>=;*#[]/\\_&%$^~@+§!?"
-_BULLET = re.compile(r"\s*(?:[*#;:•\-–]+\s*|\d{1,4}\s*[.)–-]\s+)")
-_ENDS = (".", "!", "?", "。", "！", "？", ".''", '."', ".)", "</ref>", "…")
-_KANA = re.compile("[\u3041-\u309f]")
-
-#: Statistics, in the order of the mixture's dimensions (the first three enter it as logarithms).
-STATS = ("n_words", "mean_line", "mean_word", "symbol_ratio", "digit_ratio", "punct_lines", "common_share", "list_lines", "sentence_share")
-
-
-def is_sentence_line(line: str) -> bool:
-    """True if the line reads like natural language: a fifth of its words are common ones, of at least two kinds, or it is Japanese with kana."""
-    words = line.lower().split()
-    n = len(words)
-    if n >= 3:
-        common = [w for w in words if w in COMMON]
-        if len(common) * 5 >= n and len(set(common)) > 1:
-            return True
-    return "。" in line and len(_KANA.findall(line)) * 8 >= len(line)
-
-
-def statistics(text: str | None) -> tuple[float, ...]:
-    """The values of ``STATS`` for a text; all 0 where it is null, empty or blank.
-
-    n_words: parts between white space. mean_line: characters per line that is not
-    blank. mean_word: characters per part. symbol_ratio, digit_ratio: symbols of markup
-    and code, digits 0-9, per character. punct_lines: share of lines that end like a
-    sentence. common_share: common words per part. list_lines: share of lines that begin
-    like list items. sentence_share: share of the characters in lines of natural
-    language; a short last line belongs to the sentence before it.
-    """
-    if not text:
-        return (0.0,) * len(STATS)
-    size = len(text)
-    words = text.split()
-    n = len(words)
-    if not n:
-        return (0.0,) * len(STATS)
-    common = sum(w in COMMON for w in text.lower().split())
-    symbols = sum(map(text.count, SYMBOLS))
-    digits = sum(map(text.count, "0123456789"))
-    lines = ended = listed = inside = 0
-    before = False
-    for line in text.split("\n"):
-        s = line.strip()
-        if not s:
-            before = False
-            continue
-        lines += 1
-        end = s.endswith(_ENDS)
-        ended += end
-        c = s[0]
-        # most lines of tables, templates and code need no closer look
-        sentence = c not in "|!{<}" and is_sentence_line(s)
-        if not sentence and before and end and len(s) < 60 and c not in "|!{<}*#;:•-":
-            sentence = True
-        if sentence:
-            inside += len(line) + 1
-        if _BULLET.match(s):
-            listed += 1
-        before = sentence
-    return (
-        float(n), sum(map(len, words)) / lines, sum(map(len, words)) / n, symbols / size, digits / size,
-        ended / lines, common / n, listed / lines, min(1.0, inside / size),
-    )
-
-
-# Inspected examples: shapes seen in the documents, with what they are.
-EXAMPLES: tuple[tuple[str, str], ...] = (
-    ("prose", "The quarry was closed in 1884 and a simple mill took its place. Many scholars came to the town because the mill was close to the road.\n\n== Name ==\n\nThe name comes from a rural word for \"village\", which the teachers used until 1758. It is known for its [[library]], which was visited by many.<ref>Zello, p. 53</ref>\n\n[[Category:Towns]]\n"),
-    ("prose", "Wenju is a village in the district of Brafenlo. At the last count it had 8163 inhabitants.\n{{lanes-stub}}"),
-    ("prose", "{{Infobox mill\n| rows = 12\n| name = {{{name|}}}\n}}\n\nHeute ist die Brücke sehr groß und wird von etwa 879 Menschen im Jahr besucht. Nach 1620 kamen viele Bauern in die Gegend, weil der Hafen nicht weit entfernt war. Wenn der Winter lang ist, gehen die Händler auf der anderen Seite des Flusses nach Pibra.\n"),
-    ("prose", "Depuis 1786, les pêcheurs vivent près de la mer, où le jardin est très large. Il est aussi dit que le pont était plus connu quand les marchands sont arrivés dans la région.\n\n[[Catégorie:Villages]]"),
-    ("prose", "En el año 1874, la iglesia fue descrito por los alumnos de la región. Aunque el museo es raro, cada año lo visitan más de 10 personas.\n"),
-    ("prose", "この町は狭い庭で知られ、毎年およそ1341人が訪れる。冬になると職人は川の向こうの工場へ行くことが多い。その名前は、広い川という古い言葉から来ている。\n"),
-    ("list", "'''Wenju'''\n- [[Delfenba]]\n- [[Wenmihel]]\n- Venbadel\n- Sorqui (1525)\n- Brafen\n- Gake observatory\n# Oszel\n3. [[Gatalpi]]\n"),
-    ("list", "1816 – Zello\n1996 – [[Delzel]]\n1542 – [[Baos]]\n1874 – Loimke (1791)\n1559 – Narheldel foundry\n"),
-    ("list", "Keven, Ospi (1858), Pica, [[Torpidel]], Ospi, Shusor shipyard, [[Gaduba]], Fenfenke, Brashu, Wensor (1703)"),
-    ("list", "'''Helosshu'''\nOspi calendar, Nardutal (1833), Delpishu (1758), Piju, Cahel, Gami, Torpi, [[Taldeldel]], Vennar, Radu, Zelloshu, [[Lozelven]], [[Orgaga]], Narraca shipyard, Pinar, Brajusor"),
-    ("list", "The mill is a stone library in the district of Branar, and it was first built in 1545.\n[[Orwenim]], Bajuga lichen, Jumira museum, Ratal vineyard, Zelfen (1556), Shupira, Brami, [[Wenlo]], Torpi, Vennar, Radu, Pinar, Cahel, Gami, Brajusor, Cafenfen canal, Zello, Delzel, Baos"),
-    ("list", "Quicapi\nRabra museo\nCapi\n[[Fenqui]]\n[[Fenven]]\nLonar (1512)\nRasor\n"),
-    ("list", "; Juimhel\n: Sorpi\n; Cafenfen (1845)\n: [[Ketal]]\n** Helimmi\n** [[Bafenlo]]\n"),
-    ("table", "{| class=\"wikitable sortable\"\n! route !! filter !! gemm\n|-\n| Sorshu || 76108 || 77.86\n|-\n| Wendel || no || 25.96\n|}\n"),
-    ("table", "<table>\n<tr><td>Wenwenju</td><td>63.23</td><td>54377</td></tr>\n<tr><td>Venga</td><td>3889</td><td>4877</td></tr>\n</table>"),
-    ("table", "Shurasor    30253       72.96       73.41       \nGajuor      4940        79423       50536       \nJuimos      87.30       ?           19441       \n"),
-    ("table", "Wentorfen,82349,86908,96748\nPiju;40569;32.86;6.19\nZelcalo;48648;n/a;78131\nTorpipi,73997,45237,75.45\n"),
-    ("table", "Rabra\t40610\t84311\nBaqui\tyes\t67.97\nDello\t72079\t2142\n"),
-    ("table", "In 1563, the mill was studied and a ballad took its place.\n| Baqui | yes | ? | 67.97 |\n| Dello | 72079 | 2142 |  |\n| Miosba | 16.09 | 16587 | 84.56 |\n| Loke | 0.50 | 59.30 | 78735 |\n"),
-    ("junk", "#REDIRECT [[Gake]]"),
-    ("junk", "{{Infobox canal\n| heap_name = {{{heap_name|}}}\n| mesh_name = 3484\n| lanes_1 = {{{lanes_1|}}}\n| keys = \n| mesh type = {{{mesh type|}}}\n}}"),
-    ("junk", "{{#if:{{{pixels|}}}|{{{pixels}}}|{{warp|62}}}}{{#if:{{{queue_1|}}}|{{{queue_1}}}|{{match|4}}}}{{{nodes type|}}}"),
-    ("junk", "!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!!"),
-    ("junk", "XXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXXX"),
-    ("junk", "hahahahahahahahahahahahahahahahahahahahahahaha\nThe school was close to the road.\n"),
-    ("junk", "no no no no no no no no no no no no no no no no no no no no no no no no"),
-    ("junk", "%=§_>§$&&<=^=||% \\&/\\%#/*||_&>^*& &##^§=>~$*§|=\\>*<<^^_$>**@=\\*#&>*<@~^~<&/"),
-    ("junk", "stencil.tiles(rows, 2);\n} else {\nfold.bins(tiles, 19);\nfft.cols(edges, 77);\n} else {\n"),
-    ("junk", "<div style=\"pages:75px\"><br/>&nbsp;</div>\n<div style=\"lanes:38px\"><br/>&nbsp;</div>\n"),
-    ("junk", "quiet pi kenar ra ba braca beetle tor quarry wenvenzel wen mi engine bacahel lohel quimibra monastery"),
-    ("junk", "XXoOZ4MUM3xqoYIBMxzKNOh6hpxbwZXloGtc+y94t5AP0xa4LFbuStIz7HPC8/W\nvwc/mvgbBUoeIAssWEJR8gH0rIXlvhRjvTJMVupM0tSAg\n"),
-    ("junk", "xhgccfraegdcrg qlcerva cfcldesfehlz vd lharx xgrvf kqfwqvfs qj slkablaqqcvfd gaglbkvjhw rawcj"),
-    ("junk", ""),
-)
+from .examples import EXAMPLES
+from .text_stats import STATS, free_words, statistics
 
+CLASSES = ("prose", "list", "table", "junk")
+#: Share of the documents of a group in which a common word occurs, and least number of documents.
+COMMON_SHARE, COMMON_LEAST = 0.1, 3
+#: Groups with a smaller share of the documents count as one group.
+LEAST_GROUP = 0.01
+#: Different words a task holds before it passes their counts on.
+HELD_WORDS = 200_000
 STEPS = 12
 #: Variance below which no component goes, in units of the standardised statistics.
 LEAST_VARIANCE = 0.05
-#: From this probability of not being prose on, a document is a candidate.
-SUSPECT = 1e-4
 
 
-def with_statistics(df: DataFrame, text: str) -> DataFrame:
+def learn_common(df: DataFrame, text: str, group: str | None = None) -> frozenset[str]:
+    """Words that occur in at least ``COMMON_SHARE`` of the texts of some group, in lower case; markup's own words are not counted.
+
+    ``group`` is a column such as the language; null is a group, and groups with less
+    than ``LEAST_GROUP`` of the texts are taken together. Null texts count as empty ones.
+    So the list has at most (mean number of different words in a text) / ``COMMON_SHARE``
+    words for each of at most 1 / ``LEAST_GROUP`` + 1 groups, which the driver holds.
+    """
+    one = df.select((F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("g"), F.col(text).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def flush() -> pa.RecordBatch:
+            keys = list(held)
+            got = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(held.values()), pa.int64())], names=["g", "w", "n"])
+            held.clear()
+            return got
+
+        for b in batches:
+            for g, words in zip(b.column(0).to_pylist(), free_words(b.column(1).to_pylist())):
+                held[g, None] += 1
+                held.update((g, w) for w in words)
+                if len(held) > HELD_WORDS:
+                    yield flush()
+        if held:
+            yield flush()
+
+    counts = one.mapInArrow(run, "g string, w string, n bigint").groupBy("g", "w").agg(F.sum("n").alias("n"))
+    # one row per group: the number of its texts
+    sizes = counts.where("w is null").select("g", F.col("n").alias("size"))
+    total = sizes.agg(F.sum("size")).scalar()
+    named = sizes.select(F.col("g").alias("g0"), F.when(F.col("size") >= LEAST_GROUP * total, F.struct("g")).alias("at"), "size")
+    large = named.groupBy("at").agg(F.sum("size").alias("size"))
+    rows = counts.where("w is not null").join(named.select("g0", "at"), F.col("g").eqNullSafe(F.col("g0"))).groupBy("at", "w").agg(F.sum("n").alias("n"))
+    rows = rows.join(large.withColumnRenamed("at", "at2"), F.col("at").eqNullSafe(F.col("at2")))
+    return frozenset(r["w"] for r in rows.where((F.col("n") >= F.col("size") * COMMON_SHARE) & (F.col("n") >= COMMON_LEAST)).select("w").distinct().collect())
+
+
+def with_statistics(df: DataFrame, text: str, common: Set[str]) -> DataFrame:
     """``df`` with the columns ``STATS`` in place of ``text``; columns that had these names are replaced."""
     keep = [c for c in df.columns if c != text and c not in STATS]
     kinds = dict(df.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [statistics(t) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
-            cols = zip(*rows) if rows else [()] * len(STATS)
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), *(pa.array(c, pa.float64()) for c in cols)], names=[*keep, *STATS])
+            x = statistics(b.column(b.schema.get_field_index(text)).to_pylist(), common)
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), *(pa.array(x[:, i]) for i in range(len(STATS)))], names=[*keep, *STATS])
 
     return df.select(*keep, text).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{s} double" for s in STATS)]))
 
@@ -177,8 +108,8 @@ class Mixture:
 
     def responsibilities(self, x: np.ndarray) -> np.ndarray:
         z = (x - self.shift) / self.scale
-        log = np.log(self.weight) - 0.5 * np.log(2 * math.pi * self.var).sum(axis=1)
-        p = log[None, :] - 0.5 * (((z[:, None, :] - self.mean[None]) ** 2) / self.var[None]).sum(axis=2)
+        at = np.log(self.weight) - 0.5 * (np.log(2 * math.pi * self.var) + self.mean**2 / self.var).sum(axis=1)
+        p = at[None, :] + z @ (self.mean / self.var).T - 0.5 * (z * z) @ (1 / self.var).T
         p -= p.max(axis=1, keepdims=True)
         p = np.exp(p)
         return p / p.sum(axis=1, keepdims=True)
@@ -201,8 +132,12 @@ def _emit(v: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.arange(v.size, dtype=np.int32)), pa.array(v.ravel().astype(np.float64))], names=["i", "v"])
 
 
-def fit(stats: DataFrame, steps: int = STEPS) -> Mixture | None:
-    """The mixture after ``steps`` of expectation maximisation over all rows; None for an empty table."""
+def fit(stats: DataFrame, common: Set[str], steps: int = STEPS) -> Mixture | None:
+    """The mixture after ``steps`` of expectation maximisation over all rows; None for an empty table.
+
+    The labelled sample is ``EXAMPLES``, of a fixed size: it places the components at the
+    start and names them at the end.
+    """
     d = len(STATS)
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +154,7 @@ def fit(stats: DataFrame, steps: int = STEPS) -> Mixture | None:
     shift = m[1 : 1 + d] / n
     scale = np.sqrt(np.maximum(m[1 + d :] / n - shift**2, 1e-12))
     scale[scale < 1e-5] = 1.0
-    examples = features(np.array([statistics(t) for _, t in EXAMPLES]))
+    examples = features(statistics([t for _, _, t in EXAMPLES], common))
     k = len(EXAMPLES)
     g = Mixture(shift, scale, np.full(k, 1 / k), (examples - shift) / scale, np.full((k, d), 0.25))
     for _ in range(steps):
@@ -243,25 +178,30 @@ def fit(stats: DataFrame, steps: int = STEPS) -> Mixture | None:
         weight = np.maximum(t[:, 0], 1e-6)
         g = Mixture(shift, scale, weight / weight.sum(), mean, var)
     r = g.responsibilities(examples)
-    votes = np.array([[r[[j for j, (c, _) in enumerate(EXAMPLES) if c == name], i].sum() for name in CLASSES] for i in range(k)])
+    votes = np.array([[r[[j for j, (_, c, _) in enumerate(EXAMPLES) if c == name], i].sum() for name in CLASSES] for i in range(k)])
     # a component no example belongs to takes the class of the example nearest to its mean
     z = (examples - shift) / scale
     for i in range(k):
         if votes[i].max() < 1e-3:
             near = int((((z - g.mean[i]) ** 2) / g.var[i]).sum(axis=1).argmin())
-            votes[i, CLASSES.index(EXAMPLES[near][0])] = 1
+            votes[i, CLASSES.index(EXAMPLES[near][1])] = 1
     g.classes = [CLASSES[int(v.argmax())] for v in votes]
     return g
 
 
 def classify(stats: DataFrame, g: Mixture) -> DataFrame:
-    """``stats`` with ``p_<class>`` for each class and ``kind``, the likeliest; columns that had these names are replaced."""
+    """``stats`` with ``p_<class>`` for each class and ``kind``, the likeliest; columns that had these names are replaced.
+
+    A text without a visible character is junk.
+    """
     stats = stats.drop("kind", *(f"p_{c}" for c in CLASSES))
     cols = stats.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = g.class_probabilities(_matrix(b)) if b.num_rows else np.zeros((0, len(CLASSES)))
+            x = _matrix(b)
+            p = g.class_probabilities(x) if b.num_rows else np.zeros((0, len(CLASSES)))
+            p[x[:, STATS.index("mean_line")] == 0] = [float(c == "junk") for c in CLASSES]
             kind = [CLASSES[i] for i in p.argmax(axis=1)]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, i]) for i in range(len(CLASSES))), pa.array(kind, pa.string())], names=[*cols, *(f"p_{c}" for c in CLASSES), "kind"])
 
@@ -270,6 +210,5 @@ def classify(stats: DataFrame, g: Mixture) -> DataFrame:
 
 
 def not_prose(classified: DataFrame) -> DataFrame:
-    """Rows the mixture suspects and of whose characters less than half are in sentences, or that have no words."""
-    suspect = F.col("p_prose") <= 1 - SUSPECT
-    return classified.where(suspect & (F.col("sentence_share") < 0.5))
+    """Rows of which the mixture's class is not prose."""
+    return classified.where(F.col("kind") != "prose")
