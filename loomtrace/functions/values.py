@@ -20,20 +20,25 @@ def trimmed(v: Column | str) -> Column:
 def parse_id(v: Column | str) -> Column:
     """BIGINT that a block id or address denotes; NULL where ``v`` is unreadable.
 
-    Readable: after trimming, all digits, or ``0x``/``0X`` and hex digits. Hex of
-    64 bits keeps its bit pattern (an address from 2^63 on becomes negative);
-    wider hex and decimals beyond BIGINT have no BIGINT value and give NULL.
+    Readable: after trimming, all digits, or ``0x``/``0X`` and hex digits; a line feed is
+    not trimmed. Values of 64 bits keep their bit pattern, in decimal as in hex, so an
+    address from 2^63 on becomes negative; wider ones have no BIGINT and give NULL.
     """
     t = trimmed(v)
-    digits = F.regexp_replace(F.substring(t, 3, 1 << 20), "^0+(?=.)", "")
-    return F.when(t.rlike("^[0-9]+$"), t.try_cast("bigint")).when(
-        t.rlike("^0[xX]0*[0-9a-fA-F]{1,16}$"), F.conv(digits, 16, -10).try_cast("bigint")
-    )
+    short = F.when(t.rlike(r"^[0-9]{1,18}\z"), t.try_cast("bigint"))
+    digits = F.regexp_replace(t, "^0+(?=.)", "")
+    fits = (F.length(digits) < 20) | ((F.length(digits) == 20) & (digits <= F.lit(str(2**64 - 1))))
+    long = F.when(t.rlike(r"^[0-9]{19,}\z") & fits, F.conv(digits, 10, -10).try_cast("bigint"))
+    hexa = F.when(t.rlike(r"^0[xX]0*[0-9a-fA-F]{1,16}\z"), F.conv(F.regexp_replace(F.substring(t, 3, 1 << 30), "^0+(?=.)", ""), 16, -10).try_cast("bigint"))
+    return F.coalesce(short, hexa, long)
 
 
+_T = "trim(v, ' ' || chr(9) || chr(13))"
+_U = f"TRY_CAST(ltrim({_T}, '0') AS UBIGINT)"
 PARSE_ID_SQL = (
-    "CASE WHEN regexp_full_match(trim(v, ' ' || chr(9) || chr(13)), '[0-9]+|0[xX][0-9a-fA-F]+') "
-    "THEN TRY_CAST(trim(v, ' ' || chr(9) || chr(13)) AS BIGINT) END"
+    f"CASE WHEN regexp_full_match({_T}, '[0-9]{{1,18}}|0[xX]0*[0-9a-fA-F]{{1,15}}') THEN TRY_CAST({_T} AS BIGINT) "
+    f"WHEN regexp_full_match({_T}, '[0-9]+') THEN CAST(CASE WHEN {_U} > 9223372036854775807 THEN {_U}::HUGEINT - 18446744073709551616 ELSE coalesce({_U}, CASE WHEN ltrim({_T}, '0') = '' THEN 0 END)::HUGEINT END AS BIGINT) "
+    f"WHEN regexp_full_match({_T}, '0[xX]0*[0-9a-fA-F]{{16}}') THEN CAST(CASE WHEN TRY_CAST({_T} AS UBIGINT) > 9223372036854775807 THEN TRY_CAST({_T} AS UBIGINT)::HUGEINT - 18446744073709551616 ELSE TRY_CAST({_T} AS UBIGINT)::HUGEINT END AS BIGINT) END"
 )
 
 
@@ -43,7 +48,7 @@ def decode_bytes(v: Column | str) -> Column:
     NULL where ``v`` has another form; ``0X`` alone gives empty bytes.
     """
     t = trimmed(v)
-    return F.when(t.rlike("^0[xX]([0-9a-fA-F]{2})*$"), F.unhex(F.substring(t, 3, 1 << 30)))
+    return F.when(t.rlike(r"^0[xX]([0-9a-fA-F]{2})*\z"), F.unhex(F.substring(t, 3, 1 << 30)))
 
 
 def parse_line(line: Column | str) -> Column:

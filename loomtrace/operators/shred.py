@@ -1,12 +1,12 @@
 """Nested records as columns with repetition and definition levels, and back to flat tables.
 
-``shred`` writes one record as leaf columns: for every leaf path the values with, each,
+A ``Shredder`` writes records as leaf columns: for every leaf path the values with, each,
 a repetition level (the repeated ancestor at which this entry starts a new instance; 0
-starts the record) and a definition level (how many optional or repeated ancestors are
+starts a record) and a definition level (how many optional or repeated ancestors are
 present). ``instances`` reads from the level sequence of a leaf which instance of each
 repeated ancestor an entry belongs to; a table per repeated ancestor follows from it,
-with the ordinals of parent and child as the link. Both work record by record, so the
-Spark operators built on them shuffle nothing.
+with the ordinals of parent and child as the link. Columns hold a whole batch of records,
+so that tables are read off them by array operations.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ class Column:
     vals: list = field(default_factory=list)
 
 
-def _depth(node: object, value: object, inside: tuple = ()) -> int:
+def depth_of(node: object, value: object) -> int:
     """How often a recursive group occurs within itself in ``value``, at most."""
     deepest, todo = 0, [(node, value, 0)]
     while todo:
@@ -58,63 +58,90 @@ def _depth(node: object, value: object, inside: tuple = ()) -> int:
         if v is None:
             continue
         if isinstance(n, Repeated):
-            todo += [(n.item, x, d) for x in v]
+            if not isinstance(n.item, Leaf):
+                todo += [(n.item, x, d) for x in v]
         elif isinstance(n, Group):
             d += 1
             deepest = max(deepest, d)
-            todo += [(sub, v[name], d) for name, sub in n.fields.items() if v.get(name) is not None]
+            todo += [(sub, v[name], d) for name, sub in n.fields.items() if not isinstance(sub, Leaf) and v.get(name) is not None]
     return deepest
 
 
-def shred(record: dict | None, schema: Group) -> dict[str, Column]:
-    """Leaf columns of one record. A recursive field is unrolled as deep as the record goes.
+class Shredder:
+    """Leaf columns of records of one schema, of which recursive fields are unrolled ``limit`` groups deep.
 
     A null record, a null or empty list and an absent field each leave one entry with
     a lower definition level in every leaf below, so all leaves under one repeated
-    ancestor count its instances alike.
+    ancestor count its instances alike. ``limit`` must be above the ``depth_of`` every
+    record, so that its innermost lists leave their null or empty mark.
     """
-    out: dict[str, Column] = {}
-    # one level more than the record has, so that its innermost lists leave their null or empty mark
-    limit = _depth(schema, record) + 1
-    nulls: dict[tuple[int, str, int], list[Column]] = {}
-
-    def leaves(node: object, path: str, depth: int) -> list[Column]:
-        if (at := (id(node), path, depth)) not in nulls:
-            if isinstance(node, Leaf):
-                nulls[at] = [out.setdefault(path, Column())]
-            elif isinstance(node, Repeated):
-                nulls[at] = leaves(node.item, path + "[]", depth)
-            else:
-                nulls[at] = [c for name, sub in node.fields.items() if depth < limit for c in leaves(sub, f"{path}.{name}" if path else name, depth + 1)]
-        return nulls[at]
 
-    def absent(node: object, path: str, depth: int, r: int, d: int) -> None:
-        for c in leaves(node, path, depth):
+    def __init__(self, schema: Group, limit: int):
+        self.schema, self.limit = schema, limit
+        self.columns: dict[str, Column] = {}
+        self._below: dict[tuple[int, str], list[Column]] = {}
+        self._fields: dict[tuple[int, str], list[tuple[str, object, str]]] = {}
+        self._leaves(schema, "", 0)
+
+    def _leaves(self, node: object, path: str, depth: int) -> list[Column]:
+        todo, found = [(node, path, depth)], []
+        while todo:
+            n, p, d = todo.pop()
+            if isinstance(n, Leaf):
+                found.append(self.columns.setdefault(p, Column()))
+            elif isinstance(n, Repeated):
+                todo.append((n.item, p + "[]", d))
+            elif d < self.limit:
+                todo += [(sub, f"{p}.{name}" if p else name, d + 1) for name, sub in n.fields.items()]
+        return found
+
+    def _absent(self, node: object, path: str, depth: int, r: int, d: int) -> None:
+        below = self._below.get((id(node), path))
+        if below is None:
+            below = self._below[id(node), path] = self._leaves(node, path, depth)
+        for c in below:
             c.reps.append(r)
             c.defs.append(d)
             c.vals.append(None)
 
-    def write(node: object, value: object, path: str, depth: int, rep: int, r: int, d: int) -> None:
-        if value is None:
-            absent(node, path, depth, r, d)
-        elif isinstance(node, Leaf):
-            c = leaves(node, path, depth)[0]
-            c.reps.append(r)
-            c.defs.append(d + 1)
-            c.vals.append(value)
-        elif isinstance(node, Repeated):
-            if not value:
-                absent(node, path, depth, r, d + 1)
-            for x in value:
-                write(node.item, x, path + "[]", depth, rep + 1, r, d + 2)
-                r = rep + 1
-        elif depth < limit:
-            for name, sub in node.fields.items():
-                write(sub, value.get(name), f"{path}.{name}" if path else name, depth + 1, rep, r, d + 1)
-
-    leaves(schema, "", 0)
-    write(schema, record, "", 0, 0, 0, 0)
-    return out
+    def add(self, record: dict | None) -> None:
+        """One more record, written without recursion, its fields and list items in order."""
+        todo = [(self.schema, record, "", 0, 0, 0, 0)]
+        while todo:
+            node, value, path, depth, rep, r, d = todo.pop()
+            if value is None:
+                self._absent(node, path, depth, r, d)
+            elif isinstance(node, Leaf):
+                c = self.columns[path]
+                c.reps.append(r)
+                c.defs.append(d + 1)
+                c.vals.append(value)
+            elif isinstance(node, Repeated):
+                if not value:
+                    self._absent(node, path, depth, r, d + 1)
+                elif isinstance(node.item, Leaf):
+                    # all values of a list at once
+                    c = self.columns[path + "[]"]
+                    c.reps.append(r)
+                    c.reps += [rep + 1] * (len(value) - 1)
+                    c.defs += [d + 2 if x is None else d + 3 for x in value] if None in value else [d + 3] * len(value)
+                    c.vals += value
+                else:
+                    at = path + "[]"
+                    todo += [(node.item, x, at, depth, rep + 1, rep + 1, d + 2) for x in value[:0:-1]]
+                    todo.append((node.item, value[0], at, depth, rep + 1, r, d + 2))
+            elif depth < self.limit:
+                fields = self._fields.get((id(node), path))
+                if fields is None:
+                    fields = self._fields[id(node), path] = [(name, sub, f"{path}.{name}" if path else name) for name, sub in reversed(node.fields.items())]
+                todo += [(sub, value.get(name), at, depth + 1, rep, r, d + 1) for name, sub, at in fields]
+
+
+def shred(record: dict | None, schema: Group) -> dict[str, Column]:
+    """Leaf columns of one record. A recursive field is unrolled as deep as the record goes."""
+    s = Shredder(schema, depth_of(schema, record) + 1)
+    s.add(record)
+    return s.columns
 
 
 @dataclass

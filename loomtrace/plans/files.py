@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ordered import lines
 from ..session import ensure_checkpoint_dir
-from ..sources.kernel_files import kernel_levels, kernel_rows, to_kernel_json
+from ..sources.kernel_files import kernel_rows, to_kernel_json
 from ..sources.tables import table
 from ..sources.trace_files import read_counters, read_traces, write_counters, write_traces
 from .traces import kernel_blocks
@@ -38,7 +38,7 @@ def papi_counters(spark: SparkSession, folder: str) -> DataFrame:
 
 def kernels_read(spark: SparkSession, folder: str) -> DataFrame:
     """Outermost kernels of the files with their sorted blocks, by file."""
-    rows = kernel_rows(kernel_levels(table(spark, folder, "kernel").select("file_id", "body")), ["file_id"])
+    rows = kernel_rows(table(spark, folder, "kernel").select("file_id", "body"), ["file_id"])
     one = rows.where("child = 'block' and depth = 1").select("file_id", "kid", F.col("item").try_cast("bigint").alias("b")).where("b is not null")
     return one.groupBy("file_id", "kid").agg(F.array_sort(F.collect_set("b")).alias("blocks"))
 
@@ -48,7 +48,7 @@ def kernel_json(spark: SparkSession, folder: str) -> DataFrame:
     k = kernel_blocks(spark, folder, "TypeThreeFive").groupBy("kernel_id").agg(F.array_sort(F.collect_set("block_id")).alias("blocks"))
     label = table(spark, folder, "kernel_sets").groupBy("kernel_id").agg(F.max("label").alias("label"))
     body = to_kernel_json(k.join(label, "kernel_id", "left"), kid="kernel_id")
-    rows = kernel_rows(kernel_levels(body.withColumn("file", F.lit(0))), ["file"])
+    rows = kernel_rows(body.withColumn("file", F.lit(0)), ["file"])
     return rows.where("child = 'block'").select(F.col("kid").cast("bigint").alias("kernel_id"), F.col("item").cast("bigint").alias("block_id"))
 
 

@@ -6,8 +6,8 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomtrace.operators.shred import Group, Leaf, Repeated, instances, shred, unshred
-from loomtrace.sources.kernel_files import block_text, file_table, kernel_levels, kernel_rows, read_json, read_kernel_file, to_kernel_json
+from loomtrace.operators.shred import Group, Leaf, Repeated, Shredder, depth_of, instances, shred, unshred
+from loomtrace.sources.kernel_files import _deep, block_text, file_table, kernel_rows, read_json, read_kernel_file, to_kernel_json
 
 NODE = Group()
 NODE.fields = {"name": Leaf(), "tags": Repeated(Leaf()), "kids": Repeated(NODE), "grid": Repeated(Repeated(Leaf()))}
@@ -25,6 +25,47 @@ def test_round_trip(record):
     assert unshred(shred(record, NODE), NODE) == record
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.recursive(node(st.none()), node, max_leaves=6), min_size=1, max_size=5))
+def test_batches(records):
+    """The columns of a batch are those of its records one after the other."""
+    limit = max(depth_of(NODE, r) for r in records) + 1
+    whole, parts = Shredder(NODE, limit), [Shredder(NODE, limit) for _ in records]
+    for r, p in zip(records, parts):
+        whole.add(r)
+        p.add(r)
+        assert unshred(p.columns, NODE) == r
+    for path, c in whole.columns.items():
+        for f in ("reps", "defs", "vals"):
+            assert getattr(c, f) == [x for p in parts for x in getattr(p.columns[path], f)]
+
+
+json_values = st.recursive(st.one_of(st.none(), st.booleans(), st.integers(), st.floats(allow_nan=False, allow_infinity=False), st.text(max_size=4)), lambda x: st.one_of(st.lists(x, max_size=3), st.dictionaries(st.text(max_size=3), x, max_size=3)), max_leaves=10)
+
+
+@settings(max_examples=200, deadline=None)
+@given(json_values, st.integers(0, 5), st.sampled_from(["", "x", ",", "]", "}", '"', ":", "1"]))
+def test_deep_reader(value, cut, more):
+    """The reader without recursion agrees with the other on whole and on damaged texts."""
+    for text in (json.dumps(value), json.dumps(value, indent=1)[cut:] + more, json.dumps(value)[:-cut] if cut else "{}"):
+        try:
+            got = _deep(text.strip())
+        except ValueError:
+            got = None
+        want = read_json(text) if not isinstance(got, str) or type(got) is not str else got
+        assert got == want and type(got) is type(want)
+
+
+def test_deep_files(spark):
+    deep = lambda n: "[" * n + "]" * n
+    inner = '{"Blocks":[1],"Kernels":{"a":' * 1500 + "[7]" + "}}" * 1500
+    bodies = ['{"Kernels":{"0":{"Blocks":[1,2]}},"Other":%s}' % deep(50_000), '{"Kernels":{"0":{"Blocks":[3,%s]}}}' % deep(50_000), '{"Kernels":{"0":{"Blocks":[4]},"x":%s' % deep(50_000), '{"Kernels":{"k":%s}}' % inner]
+    df = spark.createDataFrame(list(enumerate(bodies)), "f int, body string")
+    got = {(r.f, r.kid, r.item) for r in kernel_rows(df, ["f"]).where("child = 'block'").collect()}
+    assert {x for x in got if x[0] < 3} == {(0, "0", "1"), (0, "0", "2"), (1, "0", "3")}
+    assert {x[1:] for x in got if x[0] == 3} == {("k" + "/a" * i, "1") for i in range(1500)} | {("k" + "/a" * 1500, "7")}
+
+
 def test_levels():
     c = shred({"name": "r", "tags": ["a", "b"], "kids": [{"name": "x", "tags": [], "kids": None, "grid": None}, None, {"name": "y", "tags": ["c"], "kids": None, "grid": None}], "grid": None}, NODE)
     assert c["tags[]"].vals == ["a", "b"] and c["tags[]"].reps == [0, 1]
@@ -110,25 +151,33 @@ BODIES = [
 def test_kernel_files(spark):
     rows = [(i, "t", "clash", b) for i, b in enumerate(BODIES)]
     df = spark.createDataFrame(rows, "file_id bigint, trace_id string, levels string, body string")
-    levels = kernel_levels(df)
-    assert levels.count() == len(BODIES)
-    got = {(r.file_id, r.kid, r.child, r.item) for r in kernel_rows(levels, ["file_id"]).collect() if r.child != "kernel"}
+    got = {(r.file_id, r.kid, r.child, r.item) for r in kernel_rows(df, ["file_id"]).collect() if r.child != "kernel"}
     assert got == {(i, *x) for i, b in enumerate(BODIES) for x in plain(b)}
-    outer = {(r.kid, r.outer_kid, r.depth) for r in kernel_rows(levels, ["file_id"]).where("child = 'kernel' and file_id = 13").collect()}
+    outer = {(r.kid, r.outer_kid, r.depth) for r in kernel_rows(df, ["file_id"]).where("child = 'kernel' and file_id = 13").collect()}
     assert outer == {("0", None, 1), ("k", None, 1), ("k/1", "k", 2), ("k/1/z", "k/1", 3)}
-    files = {r.file_id: (r.layout, r.n_kernels) for r in file_table(levels, ["file_id"]).collect()}
+    files = {r.file_id: (r.layout, r.n_kernels) for r in file_table(df, ["file_id"]).collect()}
     assert files[0] == (None, None) and files[13] == ("pairs", 2) and files[15] == ("flat list", 3) and files[10] == ("map", 0)
-    assert kernel_rows(kernel_levels(df.limit(0)), ["file_id"]).count() == 0
+    assert kernel_rows(df.limit(0), ["file_id"]).count() == 0
 
 
 def test_long_body(spark):
     big = json.dumps({"Kernels": {str(k): {"Blocks": list(range(2000))} for k in range(100)}})
     df = spark.createDataFrame([(1, big)], "file_id bigint, body string")
-    assert kernel_rows(kernel_levels(df), ["file_id"]).where("child = 'block'").count() == 200_000
+    assert kernel_rows(df, ["file_id"]).where("child = 'block'").count() == 200_000
+
+
+def test_ids(spark):
+    n = 10**5000 + 7
+    texts = ["1" + "0" * 41, "1e41", "1E+5", "100e-2", "15e-1", "-0", "-0.0", "-1", "1e999999999999", json.dumps(f" {'0' * 9}12\r"), json.dumps("0x" + "f" * 4000), json.dumps(hex(n)), json.dumps("1" * 9000), '"\\ud800"', '"12\\n"', '"0x1f\\n"', "true", "[1]", '"1e3"', "0.000"]
+    want = ["1" + "0" * 41, "1" + "0" * 41, "100000", "1", None, "0", "0", None, None, "12", None, "1" + "0" * 4999 + "7", "1" * 9000, None, None, None, None, None, None, "0"]
+    got = [block_text(read_json(f"[{t}]")[0]) for t in texts]
+    assert [g for i, g in enumerate(got) if i != 10] == [w for i, w in enumerate(want) if i != 10] and len(got[10]) == 4817
+    rows = kernel_rows(spark.createDataFrame([(1, '{"a\\ud800":{"Label":"x\\udc00;y"}, "Kernels":{"\\ud800":{"Label":"x\\udc00;y"}}}')], "f int, body string"), ["f"]).where("child = 'label'")
+    assert {(r.kid, r.item) for r in rows.collect()} == {("?", "x?"), ("?", "y")}
 
 
 def test_texts():
-    assert block_text("0" * 5000 + "7") == "7" and block_text("") is None and read_json("﻿[1]") == ["1"]
+    assert block_text("0" * 5000 + "7") == "7" and block_text("") is None and read_json("﻿[1]") == [1]
     assert read_kernel_file('{"0":[1]}')["layout"] == "flat map"
 
 
@@ -136,6 +185,6 @@ def test_sink_round_trip(spark):
     rng = random.Random(1)
     want = [(i, sorted(rng.sample(range(100), 5)), "l" if i % 2 else None) for i in range(20)]
     df = spark.createDataFrame([*want, (99, [], None)], "kid bigint, blocks array<bigint>, label string")
-    back = kernel_rows(kernel_levels(to_kernel_json(df)), []).where("child <> 'kernel'").collect()
+    back = kernel_rows(to_kernel_json(df), []).where("child <> 'kernel'").collect()
     assert {(r.kid, r.item) for r in back if r.child == "block"} == {(str(k), str(b)) for k, bs, _ in want for b in bs}
     assert {r.kid for r in back if r.child == "label"} == {str(k) for k, _, x in want if x}
