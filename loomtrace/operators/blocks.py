@@ -10,16 +10,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.values import squeezed_label
-from .ordered import before_chunk, in_chunk, join_null_safe, lines, numbered, rows_in_ranges, with_chunk
+from .ordered import FOREVER, FROM_START, blocks_in_ranges, events, in_chunk, join_null_safe, lines
 
 RADIUS = 5
 HOT = 512
-FOREVER = (1 << 62) - 1
 
 
 def entries(trace: DataFrame) -> DataFrame:
-    """``trace_id, seq, block_id`` of readable ``BBEnter`` lines, copies once."""
-    return lines(trace, ["BBEnter"]).where(F.col("value").isNotNull()).select("trace_id", "seq", F.col("value").alias("block_id"))
+    """``trace_id, seq, chunk, block_id`` of readable ``BBEnter`` lines, copies once."""
+    return events(trace, ["BBEnter"]).select("trace_id", "seq", "chunk", F.col("value").alias("block_id"))
+
+
+def _openings(trace: DataFrame) -> DataFrame:
+    """``trace_id, seq, chunk, block_id, d``: entries (d is 1) and exits (-1)."""
+    return events(trace, ["BBEnter", "BBExit"]).select("trace_id", "seq", "chunk", F.col("value").alias("block_id"), F.when(F.col("k") == "BBEnter", 1).otherwise(-1).alias("d"))
 
 
 def block_counts(trace: DataFrame) -> DataFrame:
@@ -31,16 +35,25 @@ def cooccurrence(trace: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``trace_id, block_id, nbr, cnt``: blocks among the last ``2 radius + 1`` entries, itself included.
 
     Counted for the newest entry of the window, once more than ``radius`` entries have
-    been seen. The window trails; rows of a window's reach at the start of a chunk are
-    copies of the end of the chunk before.
+    been seen. The window trails; at the start of a chunk it reaches into the last
+    entries of the chunks before, which come as one row a chunk.
     """
-    width, reach = 1 << 16, 2 * radius
-    n = numbered(entries(trace)).withColumn("chunk", F.floor(F.col("n") / width)).withColumn("own", F.lit(True))
-    ahead = n.where(F.col("n") % width >= width - reach).withColumn("chunk", F.col("chunk") + 1).withColumn("own", F.lit(False))
-    w = W.partitionBy("trace_id", "chunk").orderBy("n")
-    seen = F.array(F.col("block_id"), *[F.lag("block_id", i).over(w) for i in range(1, reach + 1)])
-    rows = n.unionByName(ahead).withColumn("seen", seen).where(F.col("own") & (F.col("n") > radius))
-    pairs = rows.select("trace_id", "block_id", F.explode(F.filter("seen", lambda x: x.isNotNull())).alias("nbr"))
+    reach = 2 * radius
+    e = entries(trace)
+    w = in_chunk()
+    # newest first
+    seen = F.filter(F.array(*[F.lag("block_id", i).over(w) for i in range(1, reach + 1)]), lambda x: x.isNotNull())
+    rows = e.withColumns({"_n": F.row_number().over(w), "_seen": seen})
+    chunks = rows.groupBy("trace_id", "chunk").agg(F.max("_n").alias("_size"), F.max_by(F.concat(F.array("block_id"), "_seen"), "_n").alias("_end"))
+    along = W.partitionBy("trace_id").orderBy(F.desc("chunk"))
+    back = W.partitionBy("trace_id").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    # every chunk has an entry, so the last ``reach`` of them hold all there is to see
+    held = F.slice(F.flatten(F.collect_list("_end").over(along.rowsBetween(1, reach))), 1, reach)
+    carry = chunks.select("trace_id", "chunk", held.alias("_held"), F.coalesce(F.sum("_size").over(back), F.lit(0)).alias("_base"))
+    rows = join_null_safe(rows, carry, ["trace_id", "chunk"]).where(F.col("_base") + F.col("_n") > radius)
+    more = F.slice("_held", F.lit(1), F.greatest(F.lit(reach) - F.size("_seen"), F.lit(0)))
+    window = F.concat(F.array("block_id"), "_seen", F.when(F.col("_n") <= reach, more).otherwise(F.array().cast("array<bigint>")))
+    pairs = rows.select("trace_id", "block_id", F.explode(window).alias("nbr"))
     return pairs.groupBy("trace_id", "block_id", "nbr").agg(F.count("*").alias("cnt"))
 
 
@@ -103,11 +116,7 @@ def type1_kernels(trace: DataFrame, hot: int = HOT, threshold: Fraction = Fracti
 
 def open_depth(trace: DataFrame) -> DataFrame:
     """``trace_id, block_id, deepest, lowest, at_end``: running number of open activations of each block."""
-    ev = with_chunk(
-        lines(trace, ["BBEnter", "BBExit"])
-        .where(F.col("value").isNotNull())
-        .select("trace_id", "seq", F.col("value").alias("block_id"), F.when(F.col("k") == "BBEnter", 1).otherwise(-1).alias("d"))
-    )
+    ev = _openings(trace)
     run = F.sum("d").over(in_chunk("block_id").rowsBetween(W.unboundedPreceding, 0))
     local = ev.withColumn("run", run).groupBy("trace_id", "block_id", "chunk").agg(F.max("run").alias("hi"), F.min("run").alias("lo"), F.sum("d").alias("d"))
     base = F.coalesce(F.sum("d").over(W.partitionBy("trace_id", "block_id").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -119,18 +128,29 @@ def open_depth(trace: DataFrame) -> DataFrame:
 
 
 def label_events(trace: DataFrame) -> DataFrame:
-    """``trace_id, seq, label, d``: region marks in one spelling, up to the first ``:``; d is 1 on entry, -1 on exit."""
+    """``trace_id, seq, chunk, label, d``: region marks in one spelling, up to the first ``:``; d is 1 on entry, -1 on exit."""
     ev = lines(trace, ["KernelEnter", "KernelExit"])
     label = squeezed_label(F.split_part(F.coalesce("v", F.lit("")), F.lit(":"), F.lit(1)))
-    return ev.select("trace_id", "seq", label.alias("label"), F.when(F.col("k") == "KernelEnter", 1).otherwise(-1).alias("d")).where(F.col("label") != "")
+    return ev.select("trace_id", "seq", "chunk", label.alias("label"), F.when(F.col("k") == "KernelEnter", 1).otherwise(-1).alias("d")).where(F.col("label") != "")
+
+
+def _label_depths(trace: DataFrame) -> DataFrame:
+    """``label_events`` with ``depth``, the running sum of d by label, and ``next``, the ``seq`` of the label's next mark. Chunk by chunk."""
+    ev = label_events(trace)
+    keys = ["trace_id", "label"]
+    w = W.partitionBy(*keys, "chunk").orderBy("seq")
+    local = ev.withColumns({"depth": F.sum("d").over(w.rowsBetween(W.unboundedPreceding, 0)), "next": F.lead("seq").over(w)})
+    chunks = ev.groupBy(*keys, "chunk").agg(F.sum("d").alias("_d"), F.min("seq").alias("_first"))
+    along = W.partitionBy(*keys).orderBy("chunk")
+    carry = chunks.select(*keys, "chunk", F.coalesce(F.sum("_d").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.lead("_first").over(along).alias("_after"))
+    rows = join_null_safe(local, carry, [*keys, "chunk"])
+    return rows.withColumns({"depth": F.col("depth") + F.col("_base"), "next": F.coalesce("next", "_after")}).drop("_base", "_after")
 
 
 def label_balance(trace: DataFrame) -> DataFrame:
     """Per trace and label: entries, exits, and the least running depth (below 0: an exit without entry)."""
-    ev = label_events(trace)
-    w = W.partitionBy("trace_id", "label").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
     return (
-        ev.withColumn("depth", F.sum("d").over(w))
+        _label_depths(trace)
         .groupBy("trace_id", "label")
         .agg(F.sum(F.when(F.col("d") == 1, 1).otherwise(0)).alias("enters"), F.sum(F.when(F.col("d") == -1, 1).otherwise(0)).alias("exits"), F.min("depth").alias("lowest"))
     )
@@ -138,17 +158,12 @@ def label_balance(trace: DataFrame) -> DataFrame:
 
 def _label_ranges(trace: DataFrame, stacked: bool) -> DataFrame:
     """``trace_id, label, lo, hi``: where a label is active: by running depth (``stacked``) or since a last event that is an entry."""
-    ev = label_events(trace)
-    w = W.partitionBy("trace_id", "label").orderBy("seq")
-    state = F.sum("d").over(w.rowsBetween(W.unboundedPreceding, 0)) if stacked else F.col("d")
-    nxt = F.coalesce(F.lead("seq").over(w) - 1, F.lit(None))
-    rows = ev.withColumn("state", state).withColumn("next", nxt).where(F.col("state") > 0)
-    last = lines(trace).groupBy("trace_id").agg(F.max("seq").alias("end"))
-    return join_null_safe(rows, last, ["trace_id"]).select("trace_id", "label", F.col("seq").alias("lo"), F.coalesce("next", "end").alias("hi"))
+    rows = _label_depths(trace).where(F.col("depth" if stacked else "d") > 0)
+    return rows.select("trace_id", "label", F.col("seq").alias("lo"), F.coalesce(F.col("next") - 1, F.lit(FOREVER)).alias("hi"))
 
 
 def _labelled(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    pairs = rows_in_ranges(rows, ranges, ["label"]).select("trace_id", "block_id", "label").distinct()
+    pairs = blocks_in_ranges(rows, ranges, "label")
     return pairs.groupBy("trace_id", "block_id").agg(F.array_sort(F.collect_set("label")).alias("labels"))
 
 
@@ -159,7 +174,7 @@ def block_labels(trace: DataFrame) -> DataFrame:
 
 def block_labels_at_exit(trace: DataFrame) -> DataFrame:
     """Per block the labels active at one of its exits, where one exit mark ends a label however often it was entered; ``[]`` without."""
-    exits = lines(trace, ["BBExit"]).where(F.col("value").isNotNull()).select("trace_id", "seq", F.col("value").alias("block_id"))
+    exits = events(trace, ["BBExit"]).select("trace_id", "seq", "chunk", F.col("value").alias("block_id"))
     got = _labelled(exits, _label_ranges(trace, False))
     every = exits.select("trace_id", "block_id").distinct()
     return join_null_safe(every, got, ["trace_id", "block_id"]).withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
@@ -173,17 +188,12 @@ def grown_kernels(trace: DataFrame, kernels: DataFrame) -> DataFrame:
     blocks come from member lines alone; the ranges of lines they open are then met
     with the entries.
     """
-    ev = with_chunk(
-        lines(trace, ["BBEnter", "BBExit"])
-        .where(F.col("value").isNotNull())
-        .select("trace_id", "seq", F.col("value").alias("block_id"), F.when(F.col("k") == "BBEnter", 1).otherwise(-1).alias("d"))
-    )
+    ev = _openings(trace)
     kb = kernels.where(F.col("trace_id").isNotNull()).select("kernel_id", "trace_id", "block_id").distinct()
     keys = ["kernel_id", "trace_id"]
     member = ev.join(kb, ["trace_id", "block_id"])
     enter = F.when(F.col("d") == 1, F.col("seq"))
     start = member.where("d = 1").groupBy("kernel_id").agg(F.min_by("block_id", "seq").alias("start"))
-    end = ev.groupBy("trace_id").agg(F.max("seq").alias("end"))
     chunks = member.groupBy(*keys, "chunk").agg(F.sum("d").alias("_d"), F.max(enter).alias("_enter"), F.min("seq").alias("_first"))
     along = W.partitionBy(*keys).orderBy("chunk")
     carry = chunks.select(
@@ -199,12 +209,12 @@ def grown_kernels(trace: DataFrame, kernels: DataFrame) -> DataFrame:
         .withColumn("next", F.coalesce(F.lead("seq").over(w), "_first"))
         .withColumn("prev", F.coalesce(F.max(enter).over(w.rowsBetween(W.unboundedPreceding, -1)), "_enter"))
     )
-    run = run.join(end, "trace_id").join(start, "kernel_id", "left")
-    inside = run.where("open > 0").select(*keys, F.col("seq").alias("lo"), F.coalesce(F.col("next") - 1, "end").alias("hi"))
+    run = run.join(start, "kernel_id", "left")
+    inside = run.where("open > 0").select(*keys, F.col("seq").alias("lo"), F.coalesce(F.col("next") - 1, F.lit(FOREVER)).alias("hi"))
     # before the first member entry lie no member entries, so its gap starts with the trace
-    between = run.where((F.col("d") == 1) & (F.col("block_id") != F.col("start"))).select(*keys, F.coalesce(F.col("prev") + 1, F.lit(0)).alias("lo"), F.col("seq").alias("hi"))
-    entered = ev.where("d = 1").select("trace_id", "seq", "block_id")
-    got = rows_in_ranges(entered, inside.unionByName(between), ["kernel_id"]).select("kernel_id", "block_id").distinct()
+    between = run.where((F.col("d") == 1) & (F.col("block_id") != F.col("start"))).select(*keys, F.coalesce(F.col("prev") + 1, F.lit(FROM_START)).alias("lo"), F.col("seq").alias("hi"))
+    entered = ev.where("d = 1").select("trace_id", "seq", "chunk", "block_id")
+    got = blocks_in_ranges(entered, inside.unionByName(between), "kernel_id")
     return got.groupBy("kernel_id").agg(F.array_sort(F.collect_set("block_id")).alias("blocks"))
 
 
@@ -212,6 +222,3 @@ def first_members(trace: DataFrame, kernels: DataFrame) -> DataFrame:
     """``kernel_id, start, seq``: the first member block entered, and where."""
     hit = entries(trace).join(kernels.select("kernel_id", "trace_id", "block_id").distinct(), ["trace_id", "block_id"])
     return hit.groupBy("kernel_id").agg(F.min_by("block_id", "seq").alias("start"), F.min("seq").alias("seq"))
-
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in {"before_chunk"}]

@@ -32,7 +32,12 @@ def readable_lines(trace: DataFrame, keys: list[str], *extra: str) -> DataFrame:
 
 
 def with_chunk(df: DataFrame, width: int = CHUNK) -> DataFrame:
-    return df.withColumn("chunk", F.floor(F.col("seq") / F.lit(width)).cast("bigint"))
+    """``df`` with ``chunk``; as it is where it has one, so that rows stay where a shuffle has put them."""
+    if "chunk" in df.columns:
+        return df
+    bits = width.bit_length() - 1
+    at = F.shiftright("seq", bits) if width == 1 << bits else F.floor(F.col("seq") / F.lit(width)).cast("bigint")
+    return df.withColumn("chunk", at)
 
 
 def in_chunk(*more: str) -> W:
@@ -44,48 +49,44 @@ def first_copy() -> Column:
     return ~F.col("seq").eqNullSafe(F.lag("seq").over(in_chunk()))
 
 
-def writers(trace: DataFrame, width: int = CHUNK) -> DataFrame:
+def events(trace: DataFrame, keys: list[str], width: int | None = None) -> DataFrame:
+    """``trace_id, seq, chunk, k, value``: one row per readable line with these keys.
+
+    One shuffle by chunk and one sort serve this and the ordered scans that follow.
+    """
+    rows = readable_lines(trace, keys).drop("chunk")
+    rows = with_chunk(rows) if width is None else with_chunk(rows, width)
+    return rows.withColumn("_first", first_copy()).where("_first").drop("_first")
+
+
+def writers(trace: DataFrame, width: int | None = None) -> DataFrame:
     """``trace_id, seq, chunk, addr, writer``: every readable store line with its writer.
 
     The writer is the block of the nearest earlier readable ``BBEnter`` line of the
     trace; stores without one are left out. Copies of a line give one row.
     """
-    ev = with_chunk(readable_lines(trace, ["BBEnter", "StoreAddress"]), width).select(
+    ev = events(trace, ["BBEnter", "StoreAddress"], width).select(
         "trace_id", "seq", "chunk",
         F.when(F.col("k") == "BBEnter", F.col("value")).alias("block"),
         F.when(F.col("k") == "StoreAddress", F.col("value")).alias("addr"),
     )
-    local = (
-        ev.withColumn("first_copy", first_copy())
-        .withColumn("local", F.last("block", ignorenulls=True).over(in_chunk().rowsBetween(W.unboundedPreceding, 0)))
-        .where(F.col("addr").isNotNull() & F.col("first_copy"))
-    )
+    local = ev.withColumn("local", F.last("block", ignorenulls=True).over(in_chunk().rowsBetween(W.unboundedPreceding, 0))).where(F.col("addr").isNotNull())
     # one row a chunk: its last block, and from it the last block of all earlier chunks
-    last = ev.groupBy("trace_id", "chunk").agg(F.max_by("block", F.when(F.col("block").isNotNull(), F.col("seq"))).alias("last"))
-    before = W.partitionBy("trace_id").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    carry = last.select("trace_id", "chunk", F.last("last", ignorenulls=True).over(before).alias("carry"))
-    a, b = local.alias("a"), carry.alias("b")
-    on = F.col("a.trace_id").eqNullSafe(F.col("b.trace_id")) & (F.col("a.chunk") == F.col("b.chunk"))
-    return (
-        a.join(b, on, "left")
-        .select("a.trace_id", "a.seq", "a.chunk", "a.addr", F.coalesce("a.local", "b.carry").alias("writer"))
-        .where(F.col("writer").isNotNull())
-    )
+    carry = before_chunk(ev, ["trace_id"], {"carry": (F.max_by("block", F.when(F.col("block").isNotNull(), F.col("seq"))), "last")})
+    rows = join_null_safe(local, carry, ["trace_id", "chunk"])
+    return rows.select("trace_id", "seq", "chunk", "addr", F.coalesce("local", "carry").alias("writer")).where(F.col("writer").isNotNull())
 
 
 def lines(trace: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """``trace_id, seq, k, v, value, ts``: one row per line; of its copies the greatest of each column.
+    """``trace_id, seq, chunk, k, v, value, ts``: one row per line; of its copies the greatest of each column.
 
-    ``value`` is the readable value of ``v`` or NULL.
+    ``value`` is the readable value of ``v`` or NULL. Rows are shuffled once, by chunk.
     """
     rows = trace.where(F.col("seq").isNotNull())
     if keys is not None:
         rows = rows.where(F.col("k").isin(keys))
-    return (
-        rows.select("trace_id", "seq", "k", "v", parse_id("v").alias("value"), "ts")
-        .groupBy("trace_id", "seq")
-        .agg(*[F.max(c).alias(c) for c in ("k", "v", "value", "ts")])
-    )
+    rows = with_chunk(rows.select("trace_id", "seq", "k", "v", parse_id("v").alias("value"), "ts")).repartition("trace_id", "chunk")
+    return rows.groupBy("trace_id", "chunk", "seq").agg(*[F.max(c).alias(c) for c in ("k", "v", "value", "ts")])
 
 
 def before_chunk(df: DataFrame, keys: list[str], aggs: dict[str, tuple[Column, str]]) -> DataFrame:
@@ -110,29 +111,59 @@ def join_null_safe(a: DataFrame, b: DataFrame, keys: list[str], how: str = "left
     return a.join(r, on, how).drop(*[f"_k_{k}" for k in keys])
 
 
-def numbered(df: DataFrame, width: int = CHUNK) -> DataFrame:
-    """``df`` (``trace_id, seq, ...``, unique) with ``n``: the number of the row in its trace, from 1."""
-    c = with_chunk(df, width)
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` (``trace_id, seq, ...``, unique) with ``chunk`` and ``n``: the number of the row in its trace, from 1."""
+    c = with_chunk(df)
     carry = before_chunk(c, ["trace_id"], {"_n": (F.count("*"), "sum")})
-    rows = join_null_safe(c, carry, ["trace_id", "chunk"])
-    return rows.withColumn("n", F.coalesce("_n", F.lit(0)) + F.row_number().over(in_chunk())).drop("_n", "chunk")
+    rows = join_null_safe(c.withColumn("n", F.row_number().over(in_chunk())), carry, ["trace_id", "chunk"])
+    return rows.withColumn("n", F.coalesce("_n", F.lit(0)) + F.col("n")).drop("_n")
 
 
-#: Width of the pieces into which ranges of ``seq`` are cut to meet lines by an equi-join.
-PIECE = 64
+#: Ranges of lines are put together from pieces of 1, 2^8, 2^16, ... lines.
+BITS, LEVELS = 8, 8
+#: Ends of a range that is open: as far as the widest pieces reach.
+FROM_START, FOREVER = -(1 << BITS * (LEVELS - 1)), (1 << BITS * (LEVELS - 1)) - 1
 
 
-def rows_in_ranges(rows: DataFrame, ranges: DataFrame, keep: list[str], width: int = PIECE) -> DataFrame:
-    """Rows of ``rows`` (``trace_id, seq, ...``) with columns ``keep`` of each range (``trace_id, lo, hi``) holding their ``seq``.
+def _pieces() -> Column:
+    """Array of ``struct(level, piece)``: the largest aligned pieces that make up the lines from ``lo`` to ``hi``.
 
-    Both ends belong to a range. Ranges are cut at multiples of ``width``, so a piece
-    meets at most ``width`` lines and a long trace is spread over all tasks.
+    At most 2^9 of each level, however long the range is.
+    """
+    first = lambda level: F.shiftright(F.col("lo") + F.lit((1 << BITS * level) - 1), BITS * level)
+    end = lambda level: F.shiftright(F.col("hi") + F.lit(1), BITS * level)
+    none = F.array().cast("array<bigint>")
+    upto = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(none)
+    parts = []
+    for level in range(LEVELS):
+        a, b = first(level), end(level)
+        found = upto(a, b)
+        if level < LEVELS - 1:
+            # without what the next level covers
+            a2, b2 = first(level + 1), end(level + 1)
+            found = F.when(a2 < b2, F.concat(upto(a, a2 * (1 << BITS)), upto(b2 * (1 << BITS), b))).otherwise(found)
+        parts.append(F.arrays_zip(F.array_repeat(F.lit(level), F.size(found)).alias("level"), found.alias("piece")))
+    return F.concat(*parts)
+
+
+def blocks_in_ranges(rows: DataFrame, ranges: DataFrame, keep: str) -> DataFrame:
+    """``trace_id, block_id, <keep>``, distinct: blocks of ``rows`` (``trace_id, seq, chunk, block_id``) in a range (``trace_id, lo, hi, <keep>``).
+
+    Both ends belong to a range. The different blocks of each
+    aligned piece of lines are listed once per level; a range is a few pieces, which
+    meet the lists in an equi-join, so a long range costs no more than a short one.
     """
-    cut = F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width)))
-    a = ranges.where(F.col("lo") <= F.col("hi")).select(F.col("trace_id").alias("_t"), "lo", "hi", *keep, cut.alias("_c"))
-    b = rows.withColumn("_c2", F.floor(F.col("seq") / width))
-    on = b["trace_id"].eqNullSafe(a["_t"]) & (b["_c2"] == a["_c"]) & b["seq"].between(a["lo"], a["hi"])
-    return b.join(a, on).drop("_t", "_c", "_c2", "lo", "hi")
+    seq = lambda level: F.shiftright("seq", BITS * level)
+    struct = lambda level: F.struct(F.lit(level).alias("level"), seq(level).alias("piece"))
+    lines_ = rows.select("trace_id", "block_id", F.lit(0).alias("level"), F.col("seq").alias("piece"))
+    # pieces no wider than a chunk are listed where the chunk lies
+    low = rows.groupBy("trace_id", "chunk", "block_id", seq(1).alias("_p")).agg(F.min("seq").alias("seq")).select("trace_id", "chunk", "block_id", "seq")
+    one = low.select("trace_id", "block_id", struct(1).alias("s")).select("trace_id", "block_id", "s.*")
+    per = low.groupBy("trace_id", "chunk", "block_id", seq(2).alias("_p")).agg(F.min("seq").alias("seq"))
+    more = per.select("trace_id", "block_id", F.explode(F.array(*[struct(i) for i in range(2, LEVELS)])).alias("s")).select("trace_id", "block_id", "s.*").distinct()
+    index = lines_.unionByName(one).unionByName(more)
+    a = ranges.where(F.col("lo") <= F.col("hi")).select("trace_id", keep, F.explode(_pieces()).alias("s")).select("trace_id", keep, "s.*").distinct()
+    return join_null_safe(index, a, ["trace_id", "level", "piece"], "inner").select("trace_id", "block_id", keep).distinct()
 
 
 def latest_before(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
@@ -143,4 +174,5 @@ def latest_before(df: DataFrame, keys: list[str], value: str, name: str) -> Data
     w = W.partitionBy(*keys, "chunk").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
     last = F.max_by(value, F.when(F.col(value).isNotNull(), F.col("seq")))
     carry = before_chunk(df, keys, {"_carry": (last, "last")})
-    return join_null_safe(df, carry, [*keys, "chunk"]).withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(w), "_carry")).drop("_carry")
+    local = df.withColumn(name, F.last(value, ignorenulls=True).over(w))
+    return join_null_safe(local, carry, [*keys, "chunk"]).withColumn(name, F.coalesce(name, "_carry")).drop("_carry")

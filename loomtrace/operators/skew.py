@@ -1,9 +1,9 @@
 """Per-key results where a few keys hold most rows.
 
-Heavy keys are found on a sample, the list of them is broadcast (it has at most
-``1 / share`` keys), rows of heavy keys are worked on in segments spread over all
-tasks, the remaining keys go through an ordinary shuffle, and both are united. The
-sample decides only which way a key goes, never a result.
+Heavy keys are found on a sample and their list, of at most ``MOST_HEAVY`` keys, is
+broadcast: rows that join it are worked on in pieces where they lie or spread over all
+tasks, all other keys go through an ordinary shuffle, and both are united. The sample
+decides only which way a key goes, never a result.
 """
 
 from __future__ import annotations
@@ -14,31 +14,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Share of the sampled rows from which a key counts as heavy; bounds the broadcast list.
-HEAVY_SHARE = 0.002
+#: Rows from which a key is too much for one task and is worked on in pieces.
+HEAVY_ROWS = 1 << 16
+#: Bound of the broadcast list; beyond it the most frequent keys are in.
+MOST_HEAVY = 100_000
 SAMPLE_FRACTION = 0.02
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], share: float = HEAVY_SHARE, fraction: float = SAMPLE_FRACTION, seed: int = 7) -> DataFrame:
-    """Keys with at least ``share`` of a sample of the rows: at most ``1 / share`` rows.
+def heavy_keys(df: DataFrame, keys: Sequence[str], rows: int = HEAVY_ROWS, fraction: float = SAMPLE_FRACTION, most: int = MOST_HEAVY, seed: int = 7) -> DataFrame:
+    """The most frequent keys with at least about ``rows`` rows, counted on a sample: at most ``most``, in one scan.
 
-    An empty sample (small tables) gives no heavy keys. Null is a key like others.
+    Small tables give no heavy keys. Null is a key like others.
     """
     sample = df.select(*keys).sample(False, fraction, seed).groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = sample.agg(F.sum("_n")).scalar()
-    return sample.where(F.col("_n") >= F.greatest(F.lit(2.0), F.lit(share) * F.coalesce(total, F.lit(0)))).select(*keys)
+    return sample.where(F.col("_n") >= max(2.0, rows * fraction)).orderBy(F.desc("_n"), *keys).limit(most).select(*keys)
 
 
-def tag_heavy(df: DataFrame, keys: Sequence[str], heavy: DataFrame) -> DataFrame:
-    """``df`` with ``_heavy``, by a broadcast join with the bounded list of heavy keys."""
-    df = df.drop("_hit", "_heavy", *[f"_h_{k}" for k in keys])
-    h = heavy.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.lit(True).alias("_hit"))
+def _on(df: DataFrame, heavy: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
+    """The broadcast list and the condition of a join with it, null equal to null."""
+    h = F.broadcast(heavy.select(*[F.col(k).alias(f"_h_{k}") for k in keys]))
     on = None
     for k in keys:
-        c = df[k].eqNullSafe(h[f"_h_{k}"])
+        c = df[k].eqNullSafe(F.col(f"_h_{k}"))
         on = c if on is None else on & c
-    out = df.join(F.broadcast(h), on, "left")
-    return out.withColumn("_heavy", F.coalesce(F.col("_hit"), F.lit(False))).drop("_hit", *[f"_h_{k}" for k in keys])
+    return h, on
 
 
 def changes(df: DataFrame, keys: Sequence[str], order: str, segment: str, value: str, heavy: DataFrame) -> DataFrame:
@@ -52,23 +51,25 @@ def changes(df: DataFrame, keys: Sequence[str], order: str, segment: str, value:
     smallest value. A null key is a key. The result has the columns named, no others.
     """
     df = df.where(F.col(order).isNotNull() & F.col(value).isNotNull()).select(*keys, order, segment, value)
-    tagged = tag_heavy(df, keys, heavy).withColumn("_part", F.when(F.col("_heavy"), F.col(segment)))
-    w = W.partitionBy(*keys, "_part").orderBy(order, value)
-    tagged = tagged.withColumn("_again", F.col(order).eqNullSafe(F.lag(order).over(w))).where(~F.col("_again")).drop("_again")
-    seen = tagged.withColumn("_before", F.lag(value).over(w))
-    inside = seen.where(F.col("_before") != F.col(value)).select(*df.columns)
-    pieces = (
-        tagged.where("_heavy")
-        .groupBy(*keys, "_part")
-        .agg(F.min_by(F.struct(*df.columns), order).alias("_first"), F.max_by(value, order).alias("_last"))
-    )
-    along = W.partitionBy(*keys).orderBy("_part")
-    at_seams = (
-        pieces.withColumn("_before", F.lag("_last").over(along))
+    h, on = _on(df, heavy, keys)
+
+    def steps(rows: DataFrame, *part: str) -> DataFrame:
+        w = W.partitionBy(*part).orderBy(order, value)
+        rows = rows.withColumn("_again", F.col(order).eqNullSafe(F.lag(order).over(w))).where(~F.col("_again")).drop("_again")
+        return rows.withColumn("_before", F.lag(value).over(w))
+
+    changed = F.col("_before") != F.col(value)
+    ordinary = steps(df.join(h, on, "left_anti"), *keys).where(changed).select(*df.columns)
+    # rows that lie by a part of these columns already are not moved
+    pieces = steps(df.join(h, on, "left_semi"), *keys, segment)
+    inside = pieces.where(changed).select(*df.columns)
+    ends = pieces.groupBy(*keys, segment).agg(F.min_by(F.struct(*df.columns), order).alias("_first"), F.max_by(value, order).alias("_last"))
+    seams = (
+        ends.withColumn("_before", F.lag("_last").over(W.partitionBy(*keys).orderBy(segment)))
         .where(F.col("_before") != F.col(f"_first.{value}"))
         .select(*[F.col(f"_first.{c}").alias(c) for c in df.columns])
     )
-    return inside.unionByName(at_seams)
+    return ordinary.unionByName(inside).unionByName(seams)
 
 
 def aggregate(df: DataFrame, keys: Sequence[str], partial: dict[str, Column], final: dict[str, Column], heavy: DataFrame, spread: Sequence[str], salts: int = 64) -> DataFrame:
@@ -76,21 +77,17 @@ def aggregate(df: DataFrame, keys: Sequence[str], partial: dict[str, Column], fi
 
     ``partial``: aggregates over rows; ``final``: aggregates over the partial columns
     of the same name. ``spread`` are the columns whose hash picks the piece. A null key
-    is a key; ``_salt``, ``_heavy`` and ``_hit`` are not to be used as names.
+    is a key; ``_salt`` is not to be used as a name.
     """
-    tagged = tag_heavy(df, keys, heavy)
+    h, on = _on(df, heavy, keys)
+    aggs = [c.alias(n) for n, c in partial.items()]
     pieces = (
-        tagged.where("_heavy")
+        df.join(h, on, "left_semi")
         .withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
         .groupBy(*keys, "_salt")
-        .agg(*[c.alias(n) for n, c in partial.items()])
+        .agg(*aggs)
         .groupBy(*keys)
         .agg(*[c.alias(n) for n, c in final.items()])
     )
-    rest = (
-        tagged.where(~F.col("_heavy"))
-        .groupBy(*keys)
-        .agg(*[c.alias(n) for n, c in partial.items()])
-        .select(*keys, *partial)
-    )
+    rest = df.join(h, on, "left_anti").groupBy(*keys).agg(*aggs).select(*keys, *partial)
     return pieces.unionByName(rest)

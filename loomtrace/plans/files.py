@@ -2,36 +2,36 @@
 
 from __future__ import annotations
 
-import uuid
-from urllib.parse import urlparse
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import lines
-from ..session import ensure_checkpoint_dir
+from ..session import shared_folder
 from ..sources.kernel_files import kernel_rows, to_kernel_json
 from ..sources.tables import table
-from ..sources.trace_files import read_counters, read_traces, write_counters, write_traces
+from ..sources.trace_files import read_counters, read_traces, trace_status, write_counters, write_traces
 from .traces import kernel_blocks
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """Address of a new folder beside the checkpoints, which all executors see."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+def _written(spark: SparkSession, folder: str) -> str:
+    path = shared_folder(spark, "traces")
+    write_traces(lines(table(spark, folder, "trace")), path)
+    return path
 
 
 def trace_scan(spark: SparkSession, folder: str) -> DataFrame:
-    """The trace's lines written as raw files and read again; the shared folder must be one of a (mounted) file system."""
-    path = urlparse(_folder(spark, "traces")).path
-    write_traces(lines(table(spark, folder, "trace")), path)
-    return read_traces(spark, f"file://{path}")
+    """The trace's lines written as raw files and read again."""
+    return read_traces(spark, _written(spark, folder))
+
+
+def trace_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The raw files with their numbers of lines, and whether they are whole."""
+    return trace_status(spark, _written(spark, folder))
 
 
 def papi_counters(spark: SparkSession, folder: str) -> DataFrame:
     """Numbers of lines by key as a counter file, read again and added up by event."""
-    path = _folder(spark, "counters")
+    path = shared_folder(spark, "counters")
     write_counters(table(spark, folder, "trace").groupBy(F.col("k").alias("event")).agg(F.count("*").alias("value")), path)
     return read_counters(spark, path).groupBy("event").agg(F.sum("value").alias("value"))
 
@@ -52,10 +52,11 @@ def kernel_json(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where("child = 'block'").select(F.col("kid").cast("bigint").alias("kernel_id"), F.col("item").cast("bigint").alias("block_id"))
 
 
-QUERIES = {f.__name__: f for f in (trace_scan, papi_counters, kernels_read, kernel_json)}
+QUERIES = {f.__name__: f for f in (trace_scan, trace_files, papi_counters, kernels_read, kernel_json)}
 ORACLE = {
     "trace_scan": """WITH l AS (SELECT trace_id, seq, max(k) AS k, max(v) AS v FROM trace GROUP BY 1, 2)
 SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY seq) - 1 AS seq, k, split_part(coalesce(v, ''), ':', 1) AS v FROM l""",
+    "trace_files": "SELECT trace_id, count(DISTINCT seq) AS lines, false AS damaged, false AS unfinished FROM trace WHERE seq IS NOT NULL GROUP BY 1",
     "papi_counters": "SELECT k AS event, CAST(count(*) AS BIGINT) AS value FROM trace GROUP BY 1",
     "kernel_json": "SELECT DISTINCT kernel_id, b AS block_id FROM (SELECT kernel_id, unnest(blocks) AS b FROM kernel_sets WHERE stage = 'TypeThreeFive') WHERE b >= 0",
 }

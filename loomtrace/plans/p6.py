@@ -58,12 +58,12 @@ _LINES = f"""WITH lines AS (SELECT trace_id, seq, any_value(k) AS k, max({PARSE_
 _CHANGES = f"""{_LINES}, w AS (SELECT trace_id, seq, k, x AS addr,
   last_value(CASE WHEN k = 'BBEnter' THEN x END IGNORE NULLS) OVER (PARTITION BY trace_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS writer FROM lines),
 c AS (SELECT *, lag(writer) OVER (PARTITION BY trace_id, addr ORDER BY seq) AS before FROM w WHERE k = 'StoreAddress' AND writer IS NOT NULL)
-SELECT {{}} FROM c WHERE before <> writer"""
+SELECT COLUMNS FROM c WHERE before <> writer"""
 
 QUERIES = {"p6_found": p6_found, "p6_cells": p6_cells, "p6_blocks": p6_blocks}
 ORACLE = {
-    "p6_found": _CHANGES.format("trace_id, seq"),
-    "p6_cells": _CHANGES.format("trace_id, seq, addr, writer"),
+    "p6_found": _CHANGES.replace("COLUMNS", "trace_id, seq"),
+    "p6_cells": _CHANGES.replace("COLUMNS", "trace_id, seq, addr, writer"),
     "p6_blocks": f"""{_LINES} SELECT x AS block_id, count(*) AS entries, min(struct_pack(t := trace_id, s := seq)).t AS first_trace,
   min(struct_pack(t := trace_id, s := seq)).s AS first_seq, max(struct_pack(t := trace_id, s := seq)).t AS last_trace,
   max(struct_pack(t := trace_id, s := seq)).s AS last_seq FROM lines WHERE k = 'BBEnter' GROUP BY x""",

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
 from ..streaming import stateful as S
 from . import p6, traces
-from .files import _folder
 
 
 def _source(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,7 +16,7 @@ def _source(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _place(spark: SparkSession) -> tuple[str, str]:
-    at = _folder(spark, "stream")
+    at = shared_folder(spark, "stream")
     return f"{at}/data", f"{at}/state"
 
 

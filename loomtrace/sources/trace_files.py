@@ -1,93 +1,184 @@
-"""Raw trace files: one zlib stream of ``key:value`` lines a run, read into rows and written."""
+"""Raw trace files: one zlib stream of ``key:value`` lines a run, read into rows and written.
+
+Files are opened by address through ``pyarrow.fs`` (local, HDFS, S3, ...), by the task that
+needs them, and read and written as streams, so their size is not bounded by memory.
+"""
 
 from __future__ import annotations
 
-import os
+import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote, urlparse
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TRACE_SCHEMA = "trace_id string, seq bigint, k string, v string"
-#: Rows that a task holds before it passes them on.
-BATCH = 50_000
+STATUS_SCHEMA = "trace_id string, lines bigint, damaged boolean, unfinished boolean"
+#: Rows that a task holds before it passes them on, and bytes it reads at once.
+BATCH, READ = 50_000, 1 << 20
 LEVEL = 5
 
 
-def parse_stream(chunks: Iterator[bytes]) -> Iterator[tuple[str, str | None]]:
-    """(key, value) of each complete line: its first two ``:`` fields, None without a second.
+class Stream:
+    """Complete lines of a zlib stream, and how it ended.
 
-    A last line without its newline is not delivered; a stream that breaks off gives the
-    lines before the break. Bytes that are not UTF-8 become replacement marks.
+    ``damaged``: the stream broke off or holds bytes that don't inflate; the lines before
+    the break are given. ``unfinished``: the last line has no line feed and is not given.
     """
-    z, rest = zlib.decompressobj(), b""
-    for c in chunks:
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks = chunks
+        self.damaged = self.unfinished = False
+
+    def _pieces(self) -> Iterator[bytes]:
+        z = zlib.decompressobj()
         try:
-            data = z.decompress(c)
+            for c in self.chunks:
+                while c and not z.eof:
+                    yield z.decompress(c, 4 * READ)
+                    c = z.unconsumed_tail
+                if z.eof:
+                    break
+            yield z.flush()
         except zlib.error:
-            return
-        parts = (rest + data).split(b"\n")
-        rest = parts.pop()
-        for line in parts:
-            f = line.decode("utf-8", "replace").split(":")
-            yield f[0], f[1] if len(f) > 1 else None
+            pass
+        self.damaged = not z.eof
+
+    def __iter__(self) -> Iterator[tuple[str, str | None]]:
+        """(key, value): the first two ``:`` fields, None without a second. Bytes that are not UTF-8 become replacement marks."""
+        rest = b""
+        for data in self._pieces():
+            parts = (rest + data).split(b"\n")
+            rest = parts.pop()
+            for line in parts:
+                f = line.decode("utf-8", "replace").split(":")
+                yield f[0], f[1] if len(f) > 1 else None
+        self.unfinished = bool(rest)
+
+
+def parse_stream(chunks: Iterator[bytes]) -> Iterator[tuple[str, str | None]]:
+    return iter(Stream(chunks))
+
+
+def _open(address: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(address)
+
+
+def _address(path: str) -> str:
+    """``path`` as an address ``pyarrow.fs`` takes: a plain path and ``file:/x`` are local files."""
+    u = urlparse(path)
+    if u.scheme in ("", "file"):
+        return "file://" + quote(unquote(u.path) if u.scheme else path)
+    return path
+
+
+def _files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """``name, address`` of the files below a folder, one partition a file; the list is the driver's."""
+    from pyarrow import fs
+
+    at, root = _open(_address(path))
+    found = [f.path for f in at.get_file_info(fs.FileSelector(root, recursive=True)) if f.is_file and f.path.endswith(suffix) and not f.base_name.startswith(".")]
+    rows = [(p.rsplit("/", 1)[-1].removesuffix(suffix), p) for p in sorted(found)]
+    df = spark.createDataFrame(rows, "name string, path string")
+    return df.repartition(max(1, min(len(rows), 10_000)), "path") if rows else df
+
+
+def _chunks(at, path: str) -> Iterator[bytes]:
+    with at.open_input_stream(path) as f:
+        while data := f.read(READ):
+            yield data
 
 
 def read_traces(spark: SparkSession, path: str, suffix: str = ".trc") -> DataFrame:
     """``trace_id, seq, k, v`` of all trace files under ``path``; the file's name without ``suffix`` is the trace.
 
-    A stream can't be split, so a file is one task's; ``seq`` is the line's number. Files
-    up to 2 GB each (the limit of a binary column). Store the result as Parquet once.
+    A stream can't be split, so a file is one task's; ``seq`` is the line's number. Store
+    the result as Parquet once. ``trace_status`` tells which files are damaged.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", "true").load(path)
+    base = _address(path)
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, _ = _open(base)
         for pdf in pdfs:
-            for p, content in zip(pdf["path"], pdf["content"]):
-                name, rows = os.path.basename(p).removesuffix(suffix), []
-                step = 1 << 16
-                for n, (k, v) in enumerate(parse_stream(content[i : i + step] for i in range(0, len(content), step))):
-                    rows.append((name, n, k, v))
+            for name, p in zip(pdf["name"], pdf["path"]):
+                rows = []
+                for n, (k, v) in enumerate(Stream(_chunks(at, p))):
+                    rows.append((_unescaped(name), n, k, v))
                     if len(rows) >= BATCH:
                         yield pd.DataFrame(rows, columns=["trace_id", "seq", "k", "v"])
                         rows = []
                 if rows:
                     yield pd.DataFrame(rows, columns=["trace_id", "seq", "k", "v"])
 
-    return files.select("path", "content").mapInPandas(run, TRACE_SCHEMA)
+    return _files(spark, path, suffix).mapInPandas(run, TRACE_SCHEMA)
+
+
+def trace_status(spark: SparkSession, path: str, suffix: str = ".trc") -> DataFrame:
+    """``trace_id, lines, damaged, unfinished`` of all trace files under ``path``."""
+    base = _address(path)
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, _ = _open(base)
+        for pdf in pdfs:
+            rows = []
+            for name, p in zip(pdf["name"], pdf["path"]):
+                s = Stream(_chunks(at, p))
+                rows.append((_unescaped(name), sum(1 for _ in s), s.damaged, s.unfinished))
+            yield pd.DataFrame(rows, columns=["trace_id", "lines", "damaged", "unfinished"])
+
+    return _files(spark, path, suffix).mapInPandas(run, STATUS_SCHEMA)
+
+
+def _escaped(trace: str) -> str:
+    """A trace's file name: what could be a path or a hidden file is written as ``%`` and hex digits."""
+    return quote(trace, safe="").replace(".", "%2E") if trace else "%"
+
+
+def _unescaped(name: str) -> str:
+    return "" if name == "%" else unquote(name)
 
 
 def write_traces(lines: DataFrame, path: str, level: int = LEVEL, suffix: str = ".trc") -> None:
-    """One file per trace under ``path`` (a folder all executors share), lines in order of ``seq``.
+    """One file per trace in the folder ``path``, which all executors share, lines in order of ``seq``.
 
     A null value leaves the key and ``:``. Lines of a trace stream through one task and
     are compressed as they come. Traces with a null id are refused.
     """
     if lines.where(F.col("trace_id").isNull()).limit(1).count():
         raise ValueError("a trace without an id has no file name")
-    os.makedirs(path, exist_ok=True)
+    base = _address(path)
+    at, root = _open(base)
+    at.create_dir(root, recursive=True)
     rows = lines.select("trace_id", "seq", "k", "v").repartition("trace_id").sortWithinPartitions("trace_id", "seq")
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, out, z, n = None, None, None, 0
+        at, root = _open(base)
+        name, out, z, n, part = None, None, None, 0, ""
 
         def close() -> None:
             out.write(z.flush())
             out.close()
-            os.replace(out.name, os.path.join(path, name + suffix))
+            # a repeated attempt of the task writes a file of its own and replaces the other's
+            to = f"{root}/{_escaped(name)}{suffix}"
+            if at.get_file_info(to).is_file:
+                at.delete_file(to)
+            at.move(part, to)
 
         for pdf in pdfs:
             for t, k, v in zip(pdf["trace_id"], pdf["k"], pdf["v"]):
                 if t != name:
                     if out is not None:
                         close()
-                    # a repeated attempt of the task writes its own file and replaces the other's
-                    name, z = t, zlib.compressobj(level)
-                    out = open(os.path.join(path, f".{t}.{os.getpid()}"), "wb")  # noqa: SIM115
+                    name, z, part = t, zlib.compressobj(level), f"{root}/.{uuid.uuid4().hex}"
+                    out = at.open_output_stream(part)
                     n += 1
-                out.write(z.compress(f"{k}:{'' if v is None else v}\n".encode()))
+                if data := z.compress(f"{k}:{'' if v is None else v}\n".encode()):
+                    out.write(data)
         if out is not None:
             close()
         yield pd.DataFrame({"files": [n]})

@@ -77,9 +77,17 @@ def test_empty_and_copies(spark):
         assert got == {("a", 3, 0, 6), (None, 2, 0, 2)}
 
 
+def test_heavy_keys(spark):
+    """Keys just below and above what one task takes, ties at the bound of the list, small and empty tables."""
+    df = spark.createDataFrame([(k, None) for k, n in (("a", 99), ("b", 100), ("c", 101), (None, 300)) for _ in range(n)], "key string, x int")
+    assert {r.key for r in heavy_keys(df, ["key"], rows=100, fraction=1.0).collect()} == {"b", "c", None}
+    assert [r.key for r in heavy_keys(df, ["key"], rows=100, fraction=1.0, most=1).collect()] == [None]
+    assert heavy_keys(df, ["key"]).count() == 0 and heavy_keys(df.limit(0), ["key"], fraction=1.0).count() == 0
+
+
 def test_aggregate(spark):
     df = spark.createDataFrame([(i % 3 if i % 4 else None, i) for i in range(400)], "key bigint, x bigint")
     want = {tuple(r) for r in df.groupBy("key").agg(F.sum("x"), F.count("*")).collect()}
-    for heavy in (df.select("key").where("key = 1 or key is null").distinct(), heavy_keys(df, ["key"], fraction=1.0), df.select("key").limit(0)):
+    for heavy in (df.select("key").where("key = 1 or key is null").distinct(), heavy_keys(df, ["key"], rows=70, fraction=1.0), df.select("key").limit(0)):
         got = aggregate(df, ["key"], {"s": F.sum("x"), "n": F.count("*")}, {"s": F.sum("s"), "n": F.sum("n")}, heavy, ["x"], 8)
         assert {tuple(r) for r in got.collect()} == want

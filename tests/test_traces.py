@@ -7,7 +7,7 @@ from fractions import Fraction
 from loomtrace.operators import blocks as B
 from loomtrace.operators import instances as I
 from loomtrace.operators import ordered as O
-from loomtrace.sources.trace_files import parse_stream, read_counters, read_traces, write_counters, write_traces
+from loomtrace.sources.trace_files import Stream, parse_stream, read_counters, read_traces, trace_status, write_counters, write_traces
 
 TRACE = "trace_id string, seq bigint, k string, v string, ts timestamp, recv_ts timestamp, block_id string, n int"
 
@@ -63,8 +63,7 @@ def grow(rows, members):
 def test_state_machines(spark, monkeypatch):
     # chunks of a few lines, so that most state crosses chunks
     monkeypatch.setattr(O, "CHUNK", 16)
-    for f in (O.with_chunk, O.numbered):
-        monkeypatch.setattr(f, "__defaults__", (16,))
+    monkeypatch.setattr(O.with_chunk, "__defaults__", (16,))
     rng = random.Random(2)
     traces = {f"t{i}": nested_trace(rng, n) for i, n in enumerate((0, 3, 9, 60, 250))}
     df = frame(spark, traces)
@@ -137,6 +136,18 @@ def test_state_machines(spark, monkeypatch):
     assert inst == want_inst and edges == want_edges and compat == want_compat
 
 
+def test_ranges(spark):
+    rng = random.Random(11)
+    seqs = sorted({*range(0, 2000, 3), *(rng.randrange(1 << 20) for _ in range(300)), *(rng.randrange(1 << 40) for _ in range(50)), -5, -(1 << 30)})
+    rows = [("t" if i % 3 else None, s, rng.randrange(12)) for i, s in enumerate(seqs)]
+    ends = sorted(rng.sample(seqs, 60))
+    ranges = [("t" if i % 2 else None, a + rng.randrange(-2, 3), b + rng.randrange(-2, 3), i) for i, (a, b) in enumerate(zip(rng.sample(ends, 60), ends))]
+    ranges += [("t", O.FROM_START, O.FOREVER, 100), ("t", 5, 5, 101), (None, 9, 3, 102)]
+    df = O.with_chunk(spark.createDataFrame(rows, "trace_id string, seq bigint, block_id int"))
+    got = {tuple(r) for r in O.blocks_in_ranges(df, spark.createDataFrame(ranges, "trace_id string, lo bigint, hi bigint, r int"), "r").collect()}
+    assert got == {(t, b, r) for t, lo, hi, r in ranges for u, s, b in rows if t == u and lo <= s <= hi}
+
+
 def test_transfer():
     rng = random.Random(4)
     for _ in range(400):
@@ -165,6 +176,21 @@ def test_trace_files(spark, tmp_path):
     z = zlib.compress(b"k:1\n" * 50_000)
     assert len(list(parse_stream(z[i : i + 3] for i in range(0, len(z), 3)))) == 50_000
     assert list(parse_stream([b"no stream"])) == [] and list(parse_stream([])) == []
+    for data, damaged, unfinished in ((zlib.compress(body), False, True), (z[:-20], True, False), (b"", True, False), (z + b"more", False, False)):
+        x = Stream(iter([data]))
+        n = sum(1 for _ in x)
+        assert (x.damaged, x.unfinished) == (damaged, unfinished) or (damaged and x.damaged and n < 50_000)
+    big = zlib.compress(b"k:" + b"v" * 30_000_000 + b"\nlast:1\n")
+    assert [(k, len(v)) for k, v in parse_stream([big])] == [("k", 30_000_000), ("last", 1)]
+    df = spark.createDataFrame([("../x.y %", 1, "k", "v"), ("", 1, "k", "v")], "trace_id string, seq bigint, k string, v string")
+    write_traces(df, f"file:{tmp_path}/odd")
+    write_traces(df, f"file://{tmp_path}/odd")
+    assert {tuple(r) for r in read_traces(spark, f"file:{tmp_path}/odd").collect()} == {("../x.y %", 0, "k", "v"), ("", 0, "k", "v")}
+    (tmp_path / "odd" / "broken.trc").write_bytes(z[: len(z) // 2])
+    assert {(r.trace_id, r.damaged, r.unfinished) for r in trace_status(spark, f"{tmp_path}/odd").collect()} >= {("../x.y %", False, False), ("", False, False)}
+    assert trace_status(spark, f"{tmp_path}/odd").where("damaged").count() == 1
+    (tmp_path / "none").mkdir()
+    assert read_traces(spark, f"{tmp_path}/none").count() == 0
     df = spark.createDataFrame([("a", 5, "BBEnter", "1"), ("a", 2, "k", None), ("b", 1, "x", "y")], "trace_id string, seq bigint, k string, v string")
     write_traces(df, str(tmp_path / "t"))
     got = {tuple(r) for r in read_traces(spark, str(tmp_path / "t")).collect()}
