@@ -34,10 +34,10 @@ _RUNS = f"""WITH lines AS (SELECT trace_id, seq, min({PARSE_ID_SQL}) AS b, min(t
   WHERE k = 'BBEnter' AND seq IS NOT NULL AND ({PARSE_ID_SQL}) IS NOT NULL GROUP BY trace_id, seq),
 f AS (SELECT *, CASE WHEN b = lag(b) OVER (PARTITION BY trace_id ORDER BY seq) THEN 0 ELSE 1 END AS starts FROM lines),
 r AS (SELECT *, sum(starts) OVER (PARTITION BY trace_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS run FROM f)
-SELECT {{}} FROM r GROUP BY trace_id, run"""
+SELECT COLUMNS FROM r GROUP BY trace_id, run"""
 
 QUERIES = {"p2_found": p2_found, "p2_runs": p2_runs}
 ORACLE = {
-    "p2_found": _RUNS.format("trace_id, min(seq) AS first_seq, max(seq) AS last_seq") + " HAVING count(*) > 1",
-    "p2_runs": _RUNS.format("trace_id, any_value(b) AS block_id, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS entries, date_diff('microsecond', min(t0), max(t1)) AS duration_us"),
+    "p2_found": _RUNS.replace("COLUMNS", "trace_id, min(seq) AS first_seq, max(seq) AS last_seq") + " HAVING count(*) > 1",
+    "p2_runs": _RUNS.replace("COLUMNS", "trace_id, any_value(b) AS block_id, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS entries, date_diff('microsecond', min(t0), max(t1)) AS duration_us"),
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
 from ..sources.tables import table
 from .setjoin import clean_sets, set_classes, similar_classes, similar_pairs
 
@@ -12,7 +13,8 @@ NUM, DEN = 7, 10
 
 
 def _classes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return set_classes(clean_sets(table(spark, folder, "kernel_sets"), "kernel_id", "blocks", "x >= 0"))
+    sets, _ = written(clean_sets(table(spark, folder, "kernel_sets"), "kernel_id", "blocks", "x >= 0"))
+    return set_classes(sets)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,13 +1,14 @@
 """All similar pairs between set-valued records (problem 3).
 
 Records with the same set form a class; the join runs over one representative a class.
-Inverted lists are partitioned by prefix item and size band: a pair with Jaccard
-similarity >= t shares an item among the rarest ``s - ceil(t * s) + 1`` of each set of
-size ``s``, and its sizes lie in the same or in neighbouring bands. In each partition
-the lists of a probe's items are merged with a heap that skips, the longest lists are
-searched by bisection, and records reaching the required overlap are emitted, once, in
-the partition of the first item both share. Partitions above a bound are split into
-shards, each probed by all of its records, so memory holds one shard at a time.
+Inverted lists are partitioned by prefix item: a pair with Jaccard similarity >= t shares
+an item among the rarest ``s - ceil(t * s) + 1`` of each set of size ``s``. A partition's
+records come in the order of size; the lists of a record's items are merged with a heap
+that skips, the longest lists are searched by bisection, and records reaching the
+required overlap are emitted, once, in the partition of the first item both share; then
+the record joins the lists. An item with many records has a partition for each second
+item that its pairs share, so that a hot item is taken apart by its sets and not by
+copying probes; only where two items together are hot, a partition is split into shards.
 """
 
 from __future__ import annotations
@@ -16,13 +17,14 @@ import math
 from bisect import bisect_left
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Records of one prefix item and size band that one task indexes; more are split into shards.
+from ..session import written
+
+#: Records of one item that one task indexes; items with more are partitioned by a second item too, and split where that has more.
 SHARD = 20_000
 #: Bound of the broadcast list of partitions that are split.
 MOST_SPLIT = 100_000
@@ -61,44 +63,47 @@ def merge_skip(lists: list[list[int]], at: list[int], ends: list[int], t: int) -
                 heappush(heap, (lists[i][at[i]], i))
 
 
-class Shard:
-    """Inverted lists of one shard. Records are numbered by size, then id, so lists are in that order."""
+class Lists:
+    """Inverted lists of records that come in the order of size, so lists are in that order."""
 
-    def __init__(self, records: list[tuple[int, int, list]], num: int, den: int):
-        records.sort(key=lambda r: (r[0], r[1]))
+    def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        self.order = [(r[0], r[1]) for r in records]
+        self.sizes: list[int] = []
+        self.ids: list[int] = []
         self.lists: dict = {}
-        for n, (_, _, items) in enumerate(records):
-            for x in items:
-                self.lists.setdefault(x, []).append(n)
+
+    def add(self, rid: int, items: list) -> None:
+        n = len(self.ids)
+        self.sizes.append(len(items))
+        self.ids.append(rid)
+        for x in items:
+            if (found := self.lists.get(x)) is None:
+                self.lists[x] = [n]
+            else:
+                found.append(n)
 
     def _has(self, item: object, n: int) -> bool:
         found = self.lists.get(item, ())
         k = bisect_left(found, n)
         return k < len(found) and found[k] == n
 
-    def probe(self, rid: int, items: list, pos: int, other: bool) -> Iterator[tuple[int, int, int]]:
-        """(id, size, overlap) of the similar records whose first shared item is ``items[pos]``.
-
-        Within one table only records before the probe by size and id, between two
-        (``other``) all of fitting size.
-        """
+    def probe(self, items: list, first: int, second: int | None = None) -> Iterator[tuple[int, int, int]]:
+        """(id, size, overlap) of the similar records held whose first shared item is ``items[first]`` (and the second ``items[second]``)."""
         size, num, den = len(items), self.num, self.den
         least = -(-num * size // den)
-        lo = bisect_left(self.order, (least, -math.inf))
-        hi = bisect_left(self.order, (den * size // num + 1, -math.inf)) if other else bisect_left(self.order, (size, rid))
-        if lo >= hi:
-            return
+        lo, hi = bisect_left(self.sizes, least), len(self.sizes)
         t = needed(size, least, num, den)
+        if lo >= hi or size - first < t:
+            return
         lists, at, ends = [], [], []
-        for x in items:
+        # items before the first one shared take no part
+        for x in items[first:]:
             if found := self.lists.get(x):
-                a, b = bisect_left(found, lo), bisect_left(found, hi)
-                if a < b:
+                a = bisect_left(found, lo) if lo else 0
+                if a < len(found):
                     lists.append(found)
                     at.append(a)
-                    ends.append(b)
+                    ends.append(len(found))
         if len(lists) < t:
             return
         # the longest lists are left to bisection; the others must still show t - n_long occurrences
@@ -107,13 +112,13 @@ class Shard:
         n_long = min(t - 1, max(1, int(t / (0.01 * math.log2(longest + 1) + 1))) if longest > 1 else 0)
         short, long = by_length[: len(lists) - n_long], by_length[len(lists) - n_long :]
         rest = [(lists[i], at[i], ends[i]) for i in long]
+        apart = items[:first] if second is None else items[:first] + items[first + 1 : second]
         for n, count in merge_skip([lists[i] for i in short], [at[i] for i in short], [ends[i] for i in short], t - n_long):
             for found, a, b in rest:
                 k = bisect_left(found, n, a, b)
                 count += k < b and found[k] == n
-            other_size, other_id = self.order[n]
-            if count >= needed(size, other_size, num, den) and not any(self._has(x, n) for x in items[:pos]):
-                yield other_id, other_size, count
+            if count >= needed(size, self.sizes[n], num, den) and not any(self._has(x, n) for x in apart):
+                yield self.ids[n], self.sizes[n], count
 
 
 def clean_sets(df: DataFrame, rid: str, items: str, keep: str | None = None) -> DataFrame:
@@ -124,10 +129,10 @@ def clean_sets(df: DataFrame, rid: str, items: str, keep: str | None = None) ->
     """
     cond = f"x is not null and ({keep})" if keep else "x is not null"
     one = df.where(F.col(rid).isNotNull()).select(F.col(rid).alias("rid"), F.expr(f"array_sort(array_distinct(filter(`{items}`, x -> {cond})))").alias("items"))
-    one = one.where(F.size("items") > 0).distinct()
+    per = one.where(F.size("items") > 0).groupBy("rid").agg(F.collect_set("items").alias("all"))
     # ids with several different sets are few; only they are taken apart
-    merged = one.groupBy("rid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    return merged
+    merged = F.when(F.size("all") == 1, F.element_at("all", 1)).otherwise(F.array_sort(F.array_distinct(F.flatten("all"))))
+    return per.select("rid", merged.alias("items"))
 
 
 def set_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -138,55 +143,62 @@ def set_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _by_rarity(classes: DataFrame) -> DataFrame:
-    """``class_id, size, items`` with the rarest item first (ties by the item)."""
-    long = classes.select("class_id", F.explode("items").alias("x"))
+    """``class_id, side, size, items, n``: items with the rarest first (ties by the item), and in how many classes each is."""
+    long = classes.select("class_id", "side", F.explode("items").alias("x"))
     counts = long.groupBy("x").agg(F.count("*").alias("n"))
     total = classes.agg(F.count("*")).scalar()
     counts = counts.withColumn("frequent", F.col("n") > F.greatest(F.lit(100.0), F.lit(FREQUENT) * total))
     # at most (mean set size / FREQUENT) frequent items, whose rows would otherwise meet in a few tasks
     hot = counts.where("frequent").select(F.col("x").alias("hx"), F.col("n").alias("hn"))
     tagged = long.join(F.broadcast(hot), F.col("x") == F.col("hx"), "left")
-    common = tagged.where(F.col("hn").isNotNull()).select("class_id", "x", F.col("hn").alias("n"))
-    rare = tagged.where(F.col("hn").isNull()).select("class_id", "x").join(counts.where(~F.col("frequent")).select("x", "n"), "x").select("class_id", "x", "n")
+    common = tagged.where(F.col("hn").isNotNull()).select("class_id", "side", "x", F.col("hn").alias("n"))
+    rare = tagged.where(F.col("hn").isNull()).select("class_id", "side", "x").join(counts.where(~F.col("frequent")).select("x", "n"), "x").select("class_id", "side", "x", "n")
     return (
         common.unionByName(rare)
-        .groupBy("class_id")
+        .groupBy("class_id", "side")
         .agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("o"))
-        .select("class_id", F.size("o").alias("size"), F.col("o.x").alias("items"))
+        .select("class_id", "side", F.size("o").alias("size"), F.col("o.x").alias("items"), F.col("o.n").alias("n"))
     )
 
 
-def similar_classes(classes: DataFrame, num: int, den: int, shard: int = SHARD) -> DataFrame:
+def similar_classes(classes: DataFrame, num: int, den: int, shard: int = SHARD, side: str | None = None) -> DataFrame:
     """``a, b, overlap, size_a, size_b``: each pair of classes with Jaccard >= num/den once, ``a < b``.
 
     Compared in integers, so a similarity of exactly num/den is in. Ids are BIGINT.
+    With ``side`` (a column of two values) only pairs of different sides come out, ``a``
+    being of the smaller one; an id may then occur once on each side. Two classes of one
+    side must not have the same set. The classes are stored once on the way.
     """
-    sets = _by_rarity(classes)
     kind = dict(classes.dtypes)["items"]
-    band = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(den / num) + 1e-12)).cast("int") if num < den else F.col("size")
+    one = classes.select("class_id", (F.col(side).cast("string") if side else F.lit("")).alias("side"), "items")
+    sets, _ = written(_by_rarity(one))
     prefix = F.col("size") - F.ceil(F.col("size") * num / F.lit(float(den)) - F.lit(1e-9)).cast("int") + 1
-    keyed = sets.select("class_id", "items", band.alias("band"), F.posexplode(F.slice("items", F.lit(1), prefix)).alias("pos", "x"))
-    groups = keyed.groupBy("x", "band").agg(F.count("*").alias("n"))
-    bound = groups.agg(F.sum("n") / F.lit(MOST_SPLIT)).scalar()
-    split = groups.where(F.col("n") > shard).withColumn("bound", bound).where(F.col("n") > F.col("bound"))
-    split = split.select(F.col("x").alias("sx"), F.col("band").alias("sband"), F.ceil(F.col("n") / F.greatest(F.lit(float(shard)), "bound")).cast("int").alias("shards"))
-
-    def shards(df: DataFrame) -> DataFrame:
-        out = df.join(F.broadcast(split), (F.col("x") == F.col("sx")) & (F.col("at_band") == F.col("sband")), "left")
-        return out.withColumn("shards", F.coalesce("shards", F.lit(1))).drop("sx", "sband")
-
-    cols = ["x", "at_band", "shard", "role", "class_id", "pos", "items"]
-    index = shards(keyed.withColumn("at_band", F.col("band"))).withColumn("shard", F.pmod(F.xxhash64("class_id"), F.col("shards")).cast("int")).withColumn("role", F.lit(0))
-    # pairs of one table are found from the larger record, so a probe asks its own band and the one below
-    low = F.array(F.col("band"), F.col("band") - 1)
-    probes = shards(keyed.withColumn("at_band", F.explode(low))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("role", F.lit(1))
-    rows = index.select(*cols).unionByName(probes.select(*cols)).repartition("x", "at_band", "shard").sortWithinPartitions("x", "at_band", "shard", "role")
+    own = ["class_id", "side", "size", "items"]
+    # an item no other class has is shared by no pair
+    keyed = sets.select(*own, F.col("n").alias("ns"), prefix.alias("p"), F.posexplode(F.slice(F.arrays_zip(F.col("items").alias("x"), F.col("n").alias("n")), F.lit(1), prefix)).alias("pos", "s"))
+    keyed = keyed.select(*own, "ns", "p", "pos", "s.x", "s.n").where("n > 1")
+    # two different sets that share one item only are less than half alike, so others share a second one, among one item more
+    paired = 2 * num > den
+    plain = (F.col("n") <= shard) if paired else F.lit(True)
+    cold = keyed.where(plain).select(*own, "pos", "x", F.lit(None).cast("int").alias("pos2"), F.lit(None).cast(kind[6:-1]).alias("y"))
+    hot = keyed.where(~plain)
+    after = F.slice(F.arrays_zip(F.col("items").alias("x"), F.col("ns").alias("n")), F.col("pos") + 2, F.greatest(F.col("p") - F.col("pos"), F.lit(0)))
+    hot = hot.select(*own, "pos", "x", F.posexplode(after).alias("k", "s")).where("s.n > 1").select(*own, "pos", "x", (F.col("pos") + 1 + F.col("k")).alias("pos2"), F.col("s.x").alias("y"))
+    if side:
+        # equal sets of one item each, one on either side
+        hot = hot.unionByName(keyed.where(~plain).where("size = 1").select(*own, "pos", "x", F.lit(None).cast("int").alias("pos2"), F.lit(None).cast(kind[6:-1]).alias("y")))
+    rows = cold.unionByName(hot)
+    large = rows if not paired else hot
+    groups = large.groupBy("x", "y").agg(F.count("*").alias("n")).where(F.col("n") > shard)
+    split = groups.orderBy(F.desc("n"), "x", "y").limit(MOST_SPLIT).select(F.col("x").alias("sx"), F.col("y").alias("sy"), F.ceil(F.col("n") / F.lit(float(shard))).cast("int").alias("shards"))
+    rows = rows.join(F.broadcast(split), F.col("x").eqNullSafe(F.col("sx")) & F.col("y").eqNullSafe(F.col("sy")), "left").withColumn("shards", F.coalesce("shards", F.lit(1))).drop("sx", "sy")
+    mine = F.pmod(F.xxhash64("class_id", "side"), F.col("shards")).cast("int")
+    # in a split partition every record is held by its shard and asks all shards
+    rows = rows.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("held", F.col("shard") == mine)
+    cols = ["x", "y", "shard", "held", "class_id", "side", "pos", "pos2", "items"]
+    rows = rows.repartition("x", "y", "shard").sortWithinPartitions("x", "y", "shard", "size", "class_id", "side").select(*cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def stream() -> Iterator[tuple]:
-            for b in batches:
-                yield from zip(*(b.column(i).to_pylist() for i in range(len(cols))))
-
         out: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
@@ -194,26 +206,38 @@ def similar_classes(classes: DataFrame, num: int, den: int, shard: int = SHARD)
             out.clear()
             return got
 
-        for _, rows in groupby(stream(), key=lambda r: r[:3]):
-            held: list[tuple] | None = []
-            lists: Shard | None = None
-            for _, _, _, role, rid, pos, items in rows:
-                if role == 0:
-                    held.append((len(items), rid, items))
-                    continue
-                if lists is None:
-                    if not held:
-                        break
-                    lists = Shard(held, num, den)
-                for other, size, overlap in lists.probe(rid, items, pos, False):
-                    a, b, sa, sb = (rid, other, len(items), size) if rid < other else (other, rid, size, len(items))
-                    out.append((a, b, overlap, sa, sb))
+        current: tuple | None = None
+        waiting: tuple | None = None
+        lists: dict[str, Lists] = {}
+        for b in batches:
+            values = b.column(8)
+            flat, ends = values.flatten().to_pylist(), values.offsets.to_pylist()
+            base = ends[0]
+            columns = [b.column(i).to_pylist() for i in range(8)]
+            for i, (x, y, k, held, rid, s, pos, pos2) in enumerate(zip(*columns)):
+                items = flat[ends[i] - base : ends[i + 1] - base]
+                if (x, y, k) != current:
+                    current, waiting, lists = (x, y, k), None, {}
+                elif waiting is not None:
+                    # lists are begun for the second record only
+                    first_id, first_side, first_items = waiting
+                    waiting = None
+                    lists.setdefault(first_side, Lists(num, den)).add(first_id, first_items)
+                for t, index in lists.items():
+                    if side is None or t != s:
+                        for other, size, overlap in index.probe(items, pos, pos2):
+                            flip = (t < s) if side is not None else (other < rid)
+                            out.append((other, rid, overlap, size, len(items)) if flip else (rid, other, overlap, len(items), size))
+                if held:
+                    if not lists and waiting is None:
+                        waiting = (rid, s, items)
+                    else:
+                        lists.setdefault(s, Lists(num, den)).add(rid, items)
                 if len(out) >= 20_000:
                     yield flush()
         if out:
             yield flush()
 
-    assert kind.startswith("array<")
     return rows.mapInArrow(run, "a bigint, b bigint, overlap int, size_a int, size_b int")
 
 

@@ -43,6 +43,19 @@ def test_pairs(spark, num, den, shard):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize("num,den,shard", [(7, 10, 20_000), (7, 10, 2), (1, 3, 2)])
+def test_two_tables(spark, num, den, shard):
+    """Pairs between two tables only; equal sets, sets of one item and equal ids on both sides."""
+    rng = random.Random(5)
+    left = {frozenset(rng.sample(range(12), rng.randrange(1, 7))) for _ in range(40)} | {frozenset([i]) for i in range(3)}
+    right = {frozenset(rng.sample(range(12), rng.randrange(1, 7))) for _ in range(40)} | {frozenset([i]) for i in range(3)}
+    sides = {"l": dict(enumerate(sorted(left, key=sorted))), "r": dict(enumerate(sorted(right, key=sorted)))}
+    df = spark.createDataFrame([(i, t, sorted(x)) for t, xs in sides.items() for i, x in xs.items()], "class_id bigint, t string, items array<bigint>")
+    got = [(r.a, r.b) for r in similar_classes(df, num, den, shard, side="t").collect()]
+    want = {(a, b) for a, x in sides["l"].items() for b, y in sides["r"].items() if den * len(x & y) >= num * len(x | y)}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_text_values_and_empty(spark):
     df = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a", "b", "c", "d"]), (3, ["x"])], "i bigint, s array<string>")
     classes, members = set_classes(clean_sets(df, "i", "s"))
