@@ -1,10 +1,11 @@
 """Mixing sources to target shares of the total size (problem 8).
 
-The records of a source are put in seeded order within shards and cut into blocks of
-about equal size. Sainte-Lague apportionment allocates blocks to sources by the highest
-quotients ``share / (2 q + 1)``, and a source's blocks to its shards likewise, which
-gives an integer quota per shard; the shard's blocks are then taken from a seeded
-start on, all of them once before any a second time. The number of blocks is the largest for which no
+The records of a source are spread over shards, put in seeded order there and cut into
+blocks of about equal size; a record larger than a block is one by itself. Sainte-Lague
+apportionment allocates blocks to sources by the highest quotients ``share / (2 q + 1)``,
+and a source's blocks to its shards likewise, which gives an integer quota per shard;
+blocks are then chosen in seeded order until the quota's size is reached. All records are
+used once before any a second time. The number of blocks is the largest for which no
 source needs more than its capped repeats.
 """
 
@@ -15,7 +16,6 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -72,6 +72,41 @@ def normal_source(c: str) -> F.Column:
     return F.lower(F.btrim(F.col(c), F.lit(" \t\r\n")))
 
 
+def chosen(sizes: Sequence[int], quota: float, block: float, seed: int) -> np.ndarray:
+    """True for records that together come as close to ``quota`` as whole blocks, then single records, bring them without exceeding it.
+
+    Records follow each other in blocks of at most ``block``; those larger than that are
+    blocks by themselves. Blocks are taken in seeded order where they still fit, then
+    records of the blocks left over where they do. Records of size 0 come with the record
+    before them.
+    """
+    of, last, held = np.zeros(len(sizes), dtype=np.int64), -1, 0.0
+    for i, s in enumerate(sizes):
+        if last < 0 or (s and held + s > block):
+            last, held = last + 1, 0.0
+        of[i] = last
+        held += s
+    took = np.zeros(len(sizes), dtype=bool)
+    if last < 0 or quota <= 0:
+        return took
+    weights = np.bincount(of, weights=np.asarray(sizes, dtype=np.float64))
+    left, taken = quota + 1e-6, np.zeros(last + 1, dtype=bool)
+    for k in np.random.default_rng(seed).permutation(last + 1):
+        if weights[k] <= left:
+            taken[k] = True
+            left -= weights[k]
+    took = taken[of]
+    for i in np.flatnonzero(~took):
+        if 0 < sizes[i] <= left:
+            took[i] = True
+            left -= sizes[i]
+    # the rest is less than any record left; the smallest of them goes in where it brings the sum nearer
+    rest = [i for i in np.flatnonzero(~took) if sizes[i] > 0]
+    if rest and (i := min(rest, key=lambda j: (sizes[j], j))) is not None and sizes[i] - left < left:
+        took[i] = True
+    return took
+
+
 def mix(records: DataFrame, rid: str, source: str, size: str, targets: Sequence[tuple[str, float, int]], block: int = BLOCK, shard_rows: int = SHARD_ROWS, seed: int = 1) -> DataFrame:
     """``rid, source, size, uses``: the records of listed sources with how often each is used (0 too).
 
@@ -79,9 +114,9 @@ def mix(records: DataFrame, rid: str, source: str, size: str, targets: Sequence[
     of its shares and its lower cap. Sources are compared as they are: normalise them
     before. Null, unlisted and share-less sources take no part and do not come out. A
     listed source without size has nothing to give; its share goes to the others in
-    proportion. Null sizes count as 0. The records are stored once on the way.
+    proportion. Null sizes count as 0. The records are stored once on the way. A shard
+    misses its quota by less than its smallest record that is left out.
     """
-    spark = records.sparkSession
     wanted: dict[str, tuple[float, int]] = {}
     for s, share, most in targets:
         if s is not None and share is not None and share > 0 and most is not None and most > 0:
@@ -96,18 +131,10 @@ def mix(records: DataFrame, rid: str, source: str, size: str, targets: Sequence[
     shards = F.lit(1)
     for s, r in stats.items():
         shards = F.when(F.col("source") == s, F.lit(-(-r["n"] // shard_rows))).otherwise(shards)
-    w = W.partitionBy("source", "shard")
-    place = w.orderBy("_h", "_id")
-    cum = F.sum("size").over(place.rowsBetween(W.unboundedPreceding, 0)) - F.col("size") / 2
-    rows = (
-        one.withColumns({"shard": F.pmod(F.xxhash64("_id", F.lit(seed)), shards).cast("int"), "_h": F.xxhash64("_id", F.lit(seed), F.lit("place"))})
-        .withColumns({"_cum": cum, "_all": F.sum("size").over(w)})
-        .withColumn("_blocks", F.greatest(F.lit(1), F.round(F.col("_all") / block).cast("bigint")))
-        .withColumn("_block", F.when(F.col("_all") > 0, F.least(F.col("_blocks") - 1, F.floor(F.col("_cum") * F.col("_blocks") / F.nullif("_all", F.lit(0))))).otherwise(F.lit(0)))
-    )
+    rows = one.withColumns({"shard": F.pmod(F.xxhash64("_id", F.lit(seed)), shards).cast("int"), "_h": F.xxhash64("_id", F.lit(seed), F.lit("place"))})
     # one row for each shard of shard_rows records
-    per_shard = one.withColumn("shard", F.pmod(F.xxhash64("_id", F.lit(seed)), shards).cast("int")).groupBy("source", "shard").agg(F.sum("size").alias("size"))
-    per_shard = per_shard.withColumn("blocks", F.when(F.col("size") > 0, F.greatest(F.lit(1), F.round(F.col("size") / block).cast("bigint"))).otherwise(F.lit(0)))
+    per_shard = rows.groupBy("source", "shard").agg(F.sum("size").alias("all"))
+    per_shard = per_shard.withColumn("blocks", F.when(F.col("all") > 0, F.greatest(F.lit(1), F.round(F.col("all") / block).cast("bigint"))).otherwise(F.lit(0)))
     blocks = {r["source"]: r["blocks"] for r in per_shard.groupBy("source").agg(F.sum("blocks").alias("blocks")).collect()}
     names = sorted(stats)
     # blocks of a source are of size (its size / its blocks): shares in blocks are corrected by that
@@ -117,13 +144,25 @@ def mix(records: DataFrame, rid: str, source: str, size: str, targets: Sequence[
 
     def by_shard(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("shard")
-        return pd.DataFrame({"source": pdf["source"], "shard": pdf["shard"], "quota": sainte_lague(pdf["blocks"].to_numpy(), quota.get(pdf["source"].iloc[0], 0))})
-
-    quotas = per_shard.groupBy("source").applyInPandas(by_shard, "source string, shard int, quota bigint")
-    # the seeded place of a record already makes blocks random; neighbours from a seeded start keep the sum within a record of its quota
-    rank = F.pmod(F.col("_block") + F.xxhash64("source", "shard", F.lit(seed), F.lit("start")), F.col("_blocks"))
-    uses = F.floor(F.col("quota") / F.col("_blocks")) + F.when(rank < F.col("quota") % F.col("_blocks"), 1).otherwise(0)
-    return rows.join(quotas, ["source", "shard"]).select(F.col("_id").alias(rid), "source", "size", F.when(F.col("_all") > 0, uses).otherwise(F.lit(0)).cast("bigint").alias("uses"))
+        return pdf.assign(quota=sainte_lague(pdf["blocks"].to_numpy(), quota.get(pdf["source"].iloc[0], 0)))[["source", "shard", "all", "blocks", "quota"]]
+
+    quotas = per_shard.groupBy("source").applyInPandas(by_shard, "source string, shard int, all bigint, blocks bigint, quota bigint")
+    kind = dict(records.dtypes)[rid]
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_h", "_id"])
+        first = pdf.iloc[0]
+        n, q = int(first["blocks"]), int(first["quota"])
+        uses = np.zeros(len(pdf), dtype=np.int64)
+        if n:
+            size = int(first["all"]) / n
+            uses += q // n + chosen(pdf["size"].tolist(), q % n * size, size, seed + int(first["shard"]))
+        return pd.DataFrame({rid: pdf["_id"], "source": pdf["source"], "size": pdf["size"], "uses": uses})
+
+    # ids as text on the way through pandas, where a null would turn large numbers into floats
+    rows = rows.join(quotas, ["source", "shard"]).withColumn("_id", F.col("_id").cast("string"))
+    got = rows.groupBy("source", "shard").applyInPandas(choose, f"`{rid}` string, source string, size bigint, uses bigint")
+    return got.withColumn(rid, F.col(rid).cast(kind))
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

@@ -4,8 +4,8 @@ Items are spread over shards by a hash, so a task holds the lengths of one shard
 container takes the longest remaining item first; a subset-sum over bitsets then finds
 the multiset of remaining lengths that fills what is left most closely: bit ``i`` of an
 integer says that some choice adds up to ``i``. Lengths enter from long to short, with
-counts in binary parts, until the gap can be filled exactly or ``WINDOW`` lengths are
-in; walking the bitsets back gives the counts of the choice.
+counts in binary parts, until the gap can be filled exactly or all are in; walking the
+bitsets back gives the counts of the choice.
 """
 
 from __future__ import annotations
@@ -19,18 +19,14 @@ from pyspark.sql import functions as F
 
 #: Items in a shard, on average.
 SHARD_ITEMS = 4_000
-#: Different lengths that one choice may draw from.
-WINDOW = 256
 
 
-def closest(lengths: Sequence[int], counts: dict[int, int], gap: int, window: int = WINDOW) -> dict[int, int]:
+def closest(lengths: Sequence[int], counts: dict[int, int], gap: int) -> dict[int, int]:
     """How many items of each length fill ``gap`` as far as possible without exceeding it.
 
-    ``lengths``: ascending, each positive with a positive count. Where more than
-    ``window`` lengths fit, those are the longest half and the shortest half of the window.
+    ``lengths``: ascending, each positive with a positive count. All that fit take part.
     """
-    n = bisect_right(lengths, gap)
-    fit = lengths[:n] if n <= window else [*lengths[: window // 2], *lengths[n - (window - window // 2) : n]]
+    fit = lengths[: bisect_right(lengths, gap)]
     mask, bits = (1 << (gap + 1)) - 1, 1
     parts: list[tuple[int, int, int]] = []
     full = 1 << gap
@@ -52,7 +48,7 @@ def closest(lengths: Sequence[int], counts: dict[int, int], gap: int, window: in
     return chosen
 
 
-def fill(sizes: Sequence[int], capacity: int, window: int = WINDOW) -> list[list[int]]:
+def fill(sizes: Sequence[int], capacity: int) -> list[list[int]]:
     """Containers as lists of item numbers. Sizes lie between 0 and ``capacity``; items of size 0 join the first container."""
     by: dict[int, list[int]] = {}
     for i, s in enumerate(sizes):
@@ -68,7 +64,7 @@ def fill(sizes: Sequence[int], capacity: int, window: int = WINDOW) -> list[list
         if not counts[seed]:
             lengths.pop()
         if capacity > seed and lengths:
-            for s, c in closest(lengths, counts, capacity - seed, window).items():
+            for s, c in closest(lengths, counts, capacity - seed).items():
                 chosen[s] = chosen.get(s, 0) + c
                 counts[s] -= c
                 if not counts[s]:
@@ -79,7 +75,7 @@ def fill(sizes: Sequence[int], capacity: int, window: int = WINDOW) -> list[list
     return out
 
 
-def pack(items: DataFrame, item: str, size: str, capacities: Sequence[tuple[str, int]], shard_items: int = SHARD_ITEMS, window: int = WINDOW, total: int | None = None) -> DataFrame:
+def pack(items: DataFrame, item: str, size: str, capacities: Sequence[tuple[str, int]], shard_items: int = SHARD_ITEMS, total: int | None = None) -> DataFrame:
     """``pack, shard, container, item, part, start, tokens``: every item in a container of each kind.
 
     An item larger than the capacity is cut: as many whole containers as it fills, and
@@ -87,12 +83,17 @@ def pack(items: DataFrame, item: str, size: str, capacities: Sequence[tuple[str,
     like an item. Containers are numbered within kind and shard. A null size counts as
     0; items of size 0 take no space and lie in the shard's first container. ``item``
     BIGINT should be unique: rows with the same item are different items all the same.
+    Kinds without name or capacity are left out; one listed twice has the lower capacity.
     ``total``: number of rows, counted if not given. Other columns are ignored.
     """
     spark = items.sparkSession
     n = items.count() if total is None else total
     shards = max(1, -(-n // shard_items))
-    kinds = [(str(p), int(c)) for p, c in capacities]
+    least: dict[str, int] = {}
+    for p, c in capacities:
+        if p is not None and c is not None:
+            least[str(p)] = min(int(c), least.get(str(p), int(c)))
+    kinds = sorted(least.items())
     if any(c < 1 for _, c in kinds):
         raise ValueError("capacities are at least 1")
     out = "pack string, shard int, container bigint, item bigint, part int, start bigint, tokens bigint"
@@ -114,7 +115,7 @@ def pack(items: DataFrame, item: str, size: str, capacities: Sequence[tuple[str,
         got: list[tuple] = []
         place = [i for i in range(len(ids)) if rests[i] or not whole[i]]
         c = 0
-        for members in fill([rests[i] for i in place], cap, window):
+        for members in fill([rests[i] for i in place], cap):
             for m in members:
                 i = place[m]
                 got.append((c, ids[i], whole[i], whole[i] * cap, rests[i]))

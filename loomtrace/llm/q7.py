@@ -24,7 +24,7 @@ def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     """Per kind of container: containers, tokens, share of space filled, and the least number that could hold the tokens."""
-    sizes = F.broadcast(table(spark, folder, "pack_sizes").limit(1000))
+    sizes = table(spark, folder, "pack_sizes").groupBy("pack").agg(F.min("capacity_tokens").alias("capacity_tokens"))
     per = _packed(spark, folder).groupBy("pack").agg(F.countDistinct("shard", "container").alias("containers"), F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"))
     cap = F.col("capacity_tokens")
     return per.join(sizes, "pack").select(
@@ -33,5 +33,20 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"p7_packed": p7_packed, "p7_fill": p7_fill}
-ORACLE: dict[str, str] = {}
+def p7_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Per kind of container what must hold: documents in it, those not whole or in twice, containers above capacity, documents cut though they fit."""
+    per = _packed(spark, folder)
+    sizes = table(spark, folder, "pack_sizes").groupBy("pack").agg(F.min("capacity_tokens").alias("cap"))
+    docs = per.groupBy("pack", "item").agg(F.count("*").alias("n"), F.countDistinct("part").alias("parts"), F.max("part").alias("last"), F.sum("tokens").alias("tokens"))
+    docs = docs.join(sizes, "pack").groupBy("pack").agg(
+        F.count("*").alias("documents"), F.count(F.when((F.col("n") != F.col("parts")) | (F.col("n") != F.col("last") + 1), 1)).alias("broken"),
+        F.count(F.when((F.col("n") > 1) & (F.col("tokens") <= F.col("cap")), 1)).alias("needless"),
+    )
+    full = per.groupBy("pack", "shard", "container").agg(F.sum("tokens").alias("tokens")).join(sizes, "pack").groupBy("pack").agg(F.count(F.when(F.col("tokens") > F.col("cap"), 1)).alias("overfull"))
+    return docs.join(full, "pack")
+
+
+QUERIES = {"p7_packed": p7_packed, "p7_fill": p7_fill, "p7_rules": p7_rules}
+ORACLE: dict[str, str] = {
+    "p7_rules": "SELECT pack, (SELECT count(*) FROM documents) AS documents, CAST(0 AS BIGINT) AS broken, CAST(0 AS BIGINT) AS needless, CAST(0 AS BIGINT) AS overfull FROM pack_sizes GROUP BY pack",
+}

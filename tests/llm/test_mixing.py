@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomtrace.llm.mixing import mix, most_blocks, sainte_lague, shares
+from loomtrace.llm.mixing import chosen, mix, most_blocks, sainte_lague, shares
 
 
 @settings(max_examples=200, deadline=None)
@@ -28,6 +28,31 @@ def test_most_blocks():
     assert most_blocks([], [])[0] == 0 and most_blocks([0.0], [5])[0] == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 60), max_size=40), st.integers(0, 1500), st.integers(1, 40), st.integers(0, 5))
+def test_chosen(sizes, quota, block, seed):
+    took = chosen(sizes, quota, block, seed)
+    got, rest = sum(s for s, t in zip(sizes, took) if t), [s for s, t in zip(sizes, took) if not t and s > 0]
+    assert (took == chosen(sizes, quota, block, seed)).all()
+    if quota >= sum(sizes):
+        assert not rest
+    else:
+        # off by at most half of the smallest record left out, or of the last one taken
+        assert abs(got - quota) <= max([*sizes, 0]) and (got > quota or not rest or got + min(rest) > quota)
+
+
+def test_large_records(spark):
+    """Nearly half of the size is in records larger than a block, as in the tables; shares still hold."""
+    rng = random.Random(6)
+    rows = [(i, "abc"[i % 3], rng.choice([rng.randrange(50, 900)] * 9 + [rng.randrange(3000, 21_000)])) for i in range(900)]
+    df = spark.createDataFrame(rows, "i bigint, source string, n bigint")
+    targets = [("a", 0.55, 3), ("b", 0.3, 2), ("c", 0.15, 1)]
+    used = {}
+    for r in mix(df, "i", "source", "n", targets).collect():
+        used[r.source] = used.get(r.source, 0) + r.uses * r.size
+    assert all(abs(used[s] / sum(used.values()) - share) < 0.002 for s, share, _ in targets)
+
+
 def test_mix(spark):
     rng, rows = random.Random(2), []
     for i in range(6000):

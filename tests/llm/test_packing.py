@@ -21,13 +21,31 @@ def test_closest_is_best(counts, gap):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 50), max_size=60), st.integers(50, 80))
 def test_fill(sizes, capacity):
-    out = fill(sizes, capacity, window=8)
+    out = fill(sizes, capacity)
     assert sorted(i for c in out for i in c) == list(range(len(sizes)))
     assert all(sum(sizes[i] for i in c) <= capacity for c in out)
     full = [sum(sizes[i] for i in c) for c in out]
     assert all(x > 0 for x in full) or len(out) == 1
 
 
+def test_many_lengths():
+    """Of more lengths than any window would hold, the ones in the middle are found."""
+    lengths = [*range(2, 1202, 2), 2001]
+    got = closest(lengths, dict.fromkeys(lengths, 1), 2602)
+    assert sum(s * n for s, n in got.items()) == 2602
+    odd = [3, 6, *range(1000, 1600, 3)]
+    assert sum(s * n for s, n in closest(odd, dict.fromkeys(odd, 1), 1301).items()) == 1300
+    sizes = random.Random(1).choices(range(1, 2000), k=3000)
+    out = fill(sizes, 4096)
+    assert len(out) <= -(-sum(sizes) // 4096) + 1
+
+
+def test_kinds(spark):
+    df = spark.createDataFrame([(i, 5) for i in range(8)], "i bigint, n bigint")
+    got = pack(df, "i", "n", [("a", 20), ("a", 10), (None, 5), ("b", None)])
+    assert {r["pack"] for r in got.collect()} == {"a"} and got.select("container").distinct().count() == 4
+
+
 def test_pack(spark):
     rng = random.Random(3)
     rows = [(i, rng.choice([None, 0, 3, 10, 11, 25, 100, rng.randrange(1, 60)]), 9, "x") for i in range(500)] + [(7, 5, 9, "x"), (None, 4, 9, "x"), ((1 << 60) + 1, 4, 9, "x")]
