@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -112,6 +112,23 @@ def reachable(g: Graph, base: int, valid: set[int]) -> set[int]:
     return seen
 
 
+def leads_to(g: Graph, base: int, valid: set[int]) -> set[int]:
+    """Blocks reached from ``base`` over edges of all kinds by way of valid blocks; the last one need not be valid."""
+    seen: set[int] = set()
+    todo, walked = [base], {base}
+    while todo:
+        for x in g.targets(todo.pop(), *ALL):
+            seen.add(x)
+            if x in valid and x not in walked:
+                walked.add(x)
+                todo.append(x)
+    return seen
+
+
+def is_reachable(g: Graph, base: int, target: int, valid: set[int]) -> bool:
+    return target in leads_to(g, base, valid)
+
+
 def pruned(g: Graph, members: set[int]) -> set[int]:
     """The largest subset whose blocks all have a predecessor and a successor in it.
 
@@ -294,6 +311,27 @@ def adjacency(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     return blocks.select("block_id").join(per.withColumnRenamed("src", "block_id"), "block_id", "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast("array<bigint>")))
 
 
-def to_dot(edges: DataFrame, src: str = "src", dst: str = "dst", style: str = "style") -> DataFrame:
-    """Lines of a GraphViz digraph, one per edge, for writing with ``write.text``."""
-    return edges.select(F.concat(F.lit('"'), F.col(src), F.lit('" -> "'), F.col(dst), F.lit('" [style='), F.col(style), F.lit("];")).alias("value"))
+def reached_outside(kernels: DataFrame, blocks: DataFrame, edges: DataFrame) -> DataFrame:
+    """``kernel_id, base, target``: from each member the blocks outside that it reaches within the kernel and by one last step."""
+    return _per_kernel(kernels, blocks, edges, lambda g, m: [(a, b) for a in sorted(m) for b in sorted(leads_to(g, a, m) - m)], ["base", "target"], "base bigint, target bigint")
+
+
+def edge_line(src: str, dst: str, style: str) -> Column:
+    """Line of a GraphViz digraph for an edge."""
+    return F.concat(F.lit('"'), F.col(src), F.lit('" -> "'), F.col(dst), F.lit('" [style='), F.col(style), F.lit("];"))
+
+
+def kernel_graph_lines(kernels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``section, a, b, line``: in this order the lines of a GraphViz text.
+
+    Section 1 has a cluster for each kernel (``a``) with its blocks, section 2 the edges
+    (``src, dst, style``) from ``a`` to ``b``; 0 and 3 open and close the graph.
+    """
+    spark = kernels.sparkSession
+    none = F.lit(None).cast("bigint")
+    ends = spark.createDataFrame([(0, "digraph {"), (3, "}")], "section int, line string").select("section", none.alias("a"), none.alias("b"), "line")
+    nodes = F.concat_ws(" ", F.transform(F.array_sort(F.collect_set("block_id")), lambda b: F.concat(F.lit('"k'), F.col("kernel_id"), F.lit("b"), b, F.lit('" [label="'), b, F.lit('"];'))))
+    clusters = kernels.groupBy("kernel_id").agg(nodes.alias("n"))
+    clusters = clusters.select(F.lit(1).alias("section"), F.col("kernel_id").alias("a"), none.alias("b"), F.concat(F.lit("subgraph cluster_"), F.col("kernel_id"), F.lit(' { label="Kernel '), F.col("kernel_id"), F.lit('"; '), F.col("n"), F.lit(" }")).alias("line"))
+    lines = edges.select(F.lit(2).alias("section"), F.col("src").alias("a"), F.col("dst").alias("b"), edge_line("src", "dst", "style").alias("line"))
+    return ends.unionByName(clusters).unionByName(lines)

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import written
 from .blocks import entries
-from .ordered import join_null_safe, latest_before, lines, numbered, with_chunk
+from .ordered import events, in_chunk, join_null_safe, latest_before, numbered, with_chunk
 
 
-def follow(blocks: list[list[str]], state: str | None) -> tuple[str | None, int, list[tuple[str | None, bool]]]:
+def follow(blocks: Sequence[Sequence], state: object) -> tuple[object, int, list[tuple[object, bool]]]:
     """(last state, new instances, per entry its state and whether an instance begins there).
 
-    ``blocks``: for each entry the kernels holding its block, sorted as text. The current
+    ``blocks``: for each entry the kernels holding its block, in order. The current
     kernel stays while it holds the block; else the first that does takes over, or none.
     """
     new, path = 0, []
@@ -29,7 +31,7 @@ def follow(blocks: list[list[str]], state: str | None) -> tuple[str | None, int,
     return state, new, path
 
 
-def transfer(blocks: list[list[str]]) -> list[tuple[str | None, str | None, int]]:
+def transfer(blocks: Sequence[Sequence]) -> list[tuple[object, object, int]]:
     """(state before, state after, new instances) of a chunk for no kernel and every kernel its entries know.
 
     Kernels it doesn't know leave the chunk as no kernel does. A run that meets the
@@ -40,7 +42,7 @@ def transfer(blocks: list[list[str]]) -> list[tuple[str | None, str | None, int]
     for i in range(len(path) - 1, -1, -1):
         total += path[i][1]
         left[i] = total
-    out: list[tuple[str | None, str | None, int]] = [(None, end, new)]
+    out: list[tuple[object, object, int]] = [(None, end, new)]
     for k in sorted({k for ks in blocks for k in ks}):
         n = 0
         while n < len(blocks) and k in blocks[n]:
@@ -62,62 +64,100 @@ def transfer(blocks: list[list[str]]) -> list[tuple[str | None, str | None, int]
     return out
 
 
-def entry_instances(trace: DataFrame, kernels: DataFrame) -> DataFrame:
-    """``trace_id, seq, kid, uid, began``: per entry the current kernel (or none), the latest instance (-1 before any) and whether it begins.
+def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows of each (trace, ...) of ``width`` columns, of batches in which they follow each other."""
+    key, held = None, []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            if row[:width] != key:
+                if held:
+                    yield key, held
+                key, held = row[:width], []
+            held.append(row[width:])
+    if held:
+        yield key, held
 
-    ``kernels``: ``trace_id, kid, block_id``; they may overlap. Each chunk becomes a table
-    from the state before it to the state after; these are followed along the trace, one
-    small table a chunk, and every chunk is read again with its true first state.
+
+def _emit(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+_STEP = pa.schema([("trace_id", pa.string()), ("chunk", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
+_START = pa.schema([("trace_id", pa.string()), ("chunk", pa.int64()), ("state", pa.int32()), ("n", pa.int64())])
+_BEGAN = pa.schema([("trace_id", pa.string()), ("chunk", pa.int64()), ("seq", pa.int64()), ("k", pa.int32()), ("uid", pa.int64())])
+
+
+def activations(trace: DataFrame, kernels: DataFrame) -> DataFrame:
+    """``trace_id, seq, chunk, kid, uid``: the entries at which an instance of a kernel begins, numbered from 0 in each trace.
+
+    ``kernels``: ``trace_id, kid, block_id``; they may overlap. Of entries in a row whose
+    blocks lie in the same kernels only the first can begin anything; those are stored
+    once. Each chunk becomes a table from the state before it to the state after. An
+    entry in at most one kernel leaves the same state whatever was before, so chunks with
+    one end a stretch; chunks are followed one after the other only within a stretch.
+    Then each is read again with its true first state.
     """
-    kb = kernels.groupBy("trace_id", "block_id").agg(F.array_sort(F.collect_set("kid")).alias("ks"))
-    ev = with_chunk(join_null_safe(entries(trace), kb, ["trace_id", "block_id"])).select("trace_id", "chunk", "seq", F.coalesce("ks", F.array().cast("array<string>")).alias("ks"))
-
-    def tables(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        got = transfer([list(x) for x in pdf["ks"]])
-        return pd.DataFrame({"trace_id": pdf["trace_id"].iloc[0], "chunk": pdf["chunk"].iloc[0], "a": [x[0] for x in got], "b": [x[1] for x in got], "n": [x[2] for x in got]})
-
-    steps = ev.groupBy("trace_id", "chunk").applyInPandas(tables, "trace_id string, chunk bigint, a string, b string, n bigint")
-    steps = steps.groupBy("trace_id", "chunk").agg(F.collect_list(F.struct("a", "b", "n")).alias("steps")).repartition("trace_id").sortWithinPartitions("trace_id", "chunk")
-
-    def along(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current: object = along
-        state, uid = None, -1
-        for pdf in pdfs:
-            rows = []
-            for t, c, s in zip(pdf["trace_id"], pdf["chunk"], pdf["steps"]):
-                if t != current:
-                    current, state, uid = t, None, -1
-                rows.append((t, c, state, uid))
-                by = {x["a"]: x for x in s}
+    keys = kernels.select("trace_id", "kid").distinct()
+    named = keys.withColumn("k", F.row_number().over(W.partitionBy("trace_id").orderBy("kid")))
+    kb = join_null_safe(kernels.select("trace_id", "kid", "block_id").distinct(), named, ["trace_id", "kid"], "inner")
+    kb = kb.groupBy("trace_id", "block_id").agg(F.array_sort(F.collect_set("k")).alias("ks"))
+    ev = join_null_safe(entries(trace), kb, ["trace_id", "block_id"]).select("trace_id", "chunk", "seq", F.coalesce("ks", F.array().cast("array<int>")).alias("ks"))
+    heads, _ = written(ev.withColumn("_b", F.lag("ks").over(in_chunk())).where(~F.col("ks").eqNullSafe(F.col("_b"))).drop("_b"))
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (t, c), rows in _groups(batches, 2):
+            yield _emit([(t, c, *x) for x in transfer([ks for _, ks in rows])], _STEP)
+
+    ordered = heads.repartition("trace_id", "chunk").sortWithinPartitions("trace_id", "chunk", "seq")
+    steps = ordered.select("trace_id", "chunk", "seq", "ks").mapInArrow(tables, "trace_id string, chunk bigint, a int, b int, n bigint")
+    per = steps.groupBy("trace_id", "chunk").agg(F.collect_list(F.struct("a", "b", "n")).alias("steps"))
+    per, _ = written(per)
+    along = W.partitionBy("trace_id").orderBy("chunk")
+    same = F.size(F.array_distinct(F.transform("steps", lambda s: s["b"]))) == 1
+    per = per.withColumn("ends", same).withColumn("_new", F.when(F.coalesce(F.lag("ends").over(along), F.lit(True)), 1).otherwise(0))
+    per = per.withColumns({"stretch": F.sum("_new").over(along), "before": F.lag(F.when(F.col("ends"), F.col("steps")[0]["b"])).over(along)})
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for b in batches:
+            out = []
+            for t, stretch, c, before, steps in zip(*(x.to_pylist() for x in b.columns)):
+                if (t, stretch) != key:
+                    key, state = (t, stretch), before
+                by = {x["a"]: x for x in steps}
                 x = by.get(state) or by[None]
-                state, uid = x["b"], uid + x["n"]
-            yield pd.DataFrame(rows, columns=["trace_id", "chunk", "state", "uid"])
+                out.append((t, c, state, x["n"]))
+                state = x["b"]
+            if out:
+                yield _emit(out, _START)
 
-    starts = steps.mapInPandas(along, "trace_id string, chunk bigint, state string, uid bigint")
+    starts = per.repartition("trace_id", "stretch").sortWithinPartitions("trace_id", "stretch", "chunk").select("trace_id", "stretch", "chunk", "before", "steps")
+    starts = starts.mapInArrow(walk, "trace_id string, chunk bigint, state int, n bigint")
+    starts = starts.select("trace_id", "chunk", "state", F.coalesce(F.sum("n").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
 
-    def again(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        state, uid = pdf["state"].iloc[0], int(pdf["uid"].iloc[0])
-        _, _, path = follow([list(x) for x in pdf["ks"]], state if isinstance(state, str) else None)
-        began = pd.Series([x[1] for x in path])
-        return pd.DataFrame({"trace_id": pdf["trace_id"].iloc[0], "seq": pdf["seq"].to_numpy(), "kid": [x[0] for x in path], "uid": (uid + began.cumsum()).to_numpy(), "began": began.to_numpy()})
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (t, c), rows in _groups(batches, 2):
+            _, _, path = follow([r[1] for r in rows], rows[0][2])
+            began = [(t, c, r[0], k) for r, (k, new) in zip(rows, path) if new]
+            if began:
+                yield _emit([(*x, rows[0][3] + i) for i, x in enumerate(began)], _BEGAN)
 
-    rows = join_null_safe(ev, starts, ["trace_id", "chunk"])
-    return rows.groupBy("trace_id", "chunk").applyInPandas(again, "trace_id string, seq bigint, kid string, uid bigint, began boolean")
+    again_ = join_null_safe(heads, starts, ["trace_id", "chunk"]).repartition("trace_id", "chunk").sortWithinPartitions("trace_id", "chunk", "seq")
+    got = again_.select("trace_id", "chunk", "seq", "ks", "state", "base").mapInArrow(again, "trace_id string, chunk bigint, seq bigint, k int, uid bigint")
+    return join_null_safe(got, named, ["trace_id", "k"]).select("trace_id", "seq", "chunk", "kid", "uid")
 
 
 def instances(trace: DataFrame, kernels: DataFrame) -> DataFrame:
     """``trace_id, uid, kid, first_seq``: activations of kernels in order, numbered from 0 in each trace."""
-    return entry_instances(trace, kernels).where("began").select("trace_id", "uid", "kid", F.col("seq").alias("first_seq"))
+    return activations(trace, kernels).select("trace_id", "uid", "kid", F.col("seq").alias("first_seq"))
 
 
 def _accesses(trace: DataFrame, marks: DataFrame, value: str) -> DataFrame:
     """``trace_id, seq, chunk, addr, store, at``: readable loads and stores with the ``value`` of the latest mark before them."""
-    acc = lines(trace, ["LoadAddress", "StoreAddress"]).where(F.col("value").isNotNull())
-    acc = acc.select("trace_id", "seq", F.col("value").alias("addr"), (F.col("k") == "StoreAddress").alias("store"), F.lit(None).cast(dict(marks.dtypes)[value]).alias("_m"))
-    none = marks.select("trace_id", "seq", F.lit(None).cast("bigint").alias("addr"), F.lit(None).cast("boolean").alias("store"), F.col(value).alias("_m"))
-    return latest_before(with_chunk(acc.unionByName(none)), ["trace_id"], "_m", "at").where(F.col("addr").isNotNull()).drop("_m")
+    acc = events(trace, ["LoadAddress", "StoreAddress"])
+    acc = acc.select("trace_id", "seq", "chunk", F.col("value").alias("addr"), (F.col("k") == "StoreAddress").alias("store"), F.lit(None).cast(dict(marks.dtypes)[value]).alias("_m"))
+    none = with_chunk(marks).select("trace_id", "seq", "chunk", F.lit(None).cast("bigint").alias("addr"), F.lit(None).cast("boolean").alias("store"), F.col(value).alias("_m"))
+    return latest_before(acc.unionByName(none), ["trace_id"], "_m", "at").where(F.col("addr").isNotNull()).drop("_m")
 
 
 def _last_store(acc: DataFrame) -> DataFrame:
@@ -134,7 +174,8 @@ def consumer_edges(trace: DataFrame, kernels: DataFrame, compat: bool = False) -
     ``compat`` the former belong to -1, which can consume but not produce, and the
     latter read from instance 0.
     """
-    marks = entry_instances(trace, kernels).select("trace_id", "seq", "uid")
+    # between two beginnings the latest instance stays the same
+    marks = activations(trace, kernels).select("trace_id", "seq", "chunk", "uid")
     acc = _accesses(trace, marks, "uid").withColumn("at", F.coalesce("at", F.lit(-1)))
     e = _last_store(acc).select("trace_id", F.col("at").alias("consumer"), F.col("by").alias("producer"))
     if compat:
@@ -155,12 +196,12 @@ def contexts(trace: DataFrame, kernels: DataFrame) -> DataFrame:
     kb = kernels.where(F.col("trace_id").isNotNull()).select("kernel_id", "trace_id", "block_id").distinct()
     sizes = kb.groupBy("kernel_id").agg(F.count("*").alias("size"))
     inner = kb.join(sizes, "kernel_id").groupBy("trace_id", "block_id").agg(F.min_by("kernel_id", F.struct("size", "kernel_id")).alias("inner"))
-    ev = with_chunk(numbered(entries(trace)))
+    ev = numbered(entries(trace))
     mem = latest_before(ev.join(kb, ["trace_id", "block_id"]), ["trace_id", "kernel_id"], "n", "prev")
     mem = mem.withColumn("begin", F.when(F.col("prev").isNull() | (F.col("n") - F.col("prev") > 1), F.col("seq")))
     mem = latest_before(mem, ["trace_id", "kernel_id"], "begin", "before").withColumn("start", F.coalesce("begin", "before"))
     at = mem.join(inner, ["trace_id", "block_id"]).where("kernel_id = inner").select("trace_id", "seq", "kernel_id", "start")
-    return join_null_safe(ev.select("trace_id", "seq"), at, ["trace_id", "seq"]).select("trace_id", "seq", F.struct("kernel_id", "start").alias("ctx"))
+    return join_null_safe(ev.select("trace_id", "seq", "chunk"), at, ["trace_id", "seq"]).select("trace_id", "seq", "chunk", F.struct("kernel_id", "start").alias("ctx"))
 
 
 def read_sets(trace: DataFrame, kernels: DataFrame) -> DataFrame:

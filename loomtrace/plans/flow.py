@@ -17,13 +17,20 @@ def _args(spark: SparkSession, folder: str, stage: str | None = None) -> tuple[D
     return kernel_blocks(spark, folder, stage), table(spark, folder, "blocks"), table(spark, folder, "edges")
 
 
+#: Functions whose blocks are counted together on the way to dense numbers.
+FUNCTIONS = 4096
+
+
 def block_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """Dense numbers of blocks in order of function, then position: a running total over functions, a row number within one."""
+    """Dense numbers of blocks in order of function, then position: running totals over groups of functions, over the functions of a group, and a row number within one."""
     b = table(spark, folder, "blocks")
-    per = b.groupBy("func_id").agg(F.count("*").alias("n"))
-    base = per.select("func_id", (F.sum("n").over(W.orderBy("func_id")) - F.col("n")).alias("base"))
+    per = b.groupBy("func_id").agg(F.count("*").alias("n")).withColumn("g", F.floor(F.col("func_id") / FUNCTIONS))
+    groups = per.groupBy("g").agg(F.sum("n").alias("gn"))
+    # one row for each group of functions
+    groups = groups.select("g", (F.sum("gn").over(W.orderBy("g")) - F.col("gn")).alias("gbase"))
+    base = per.withColumn("base", F.sum("n").over(W.partitionBy("g").orderBy("func_id")) - F.col("n")).join(groups, "g")
     w = W.partitionBy("func_id").orderBy("block_pos", "block_id")
-    return b.join(base, "func_id").select("block_id", (F.col("base") + F.row_number().over(w) - 1).alias("number"))
+    return b.join(base.select("func_id", (F.col("base") + F.col("gbase")).alias("base")), "func_id").select("block_id", (F.col("base") + F.row_number().over(w) - 1).alias("number"))
 
 
 def adjacency_dump(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,6 +45,11 @@ def dot_edges(spark: SparkSession, folder: str) -> DataFrame:
     return solid.unionByName(e.where("kind = 'call'").select("src", "dst", F.lit("dashed").alias("style")))
 
 
+def kernel_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """The kernel graph as lines of a GraphViz text: clusters of kernels, then ``dot_edges``."""
+    return G.kernel_graph_lines(kernel_blocks(spark, folder, "TypeThreeFive"), dot_edges(spark, folder))
+
+
 def type3_kernels(spark: SparkSession, folder: str) -> DataFrame:
     return G.pruned_kernels(*_args(spark, folder, STAGE))
 
@@ -51,7 +63,11 @@ def type35_kernels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def reachable(spark: SparkSession, folder: str) -> DataFrame:
-    return G.reachable_blocks(*_args(spark, folder, STAGE))
+    return G.reachable_blocks(*_args(spark, folder))
+
+
+def reached_outside(spark: SparkSession, folder: str) -> DataFrame:
+    return G.reached_outside(*_args(spark, folder))
 
 
 def self_reachable(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,17 +102,20 @@ def final_kernels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """``parent_id, kernel_id, trace_id``: proper containment between kernels of one trace, by counting shared blocks."""
-    kb = kernel_blocks(spark, folder).where(F.col("trace_id").isNotNull())
-    n = kb.groupBy("kernel_id", "trace_id").agg(F.count("*").alias("n"))
-    a, b = kb.join(n, ["kernel_id", "trace_id"]).alias("a"), kb.join(n, ["kernel_id", "trace_id"]).alias("b")
-    hit = a.join(b, (F.col("a.trace_id") == F.col("b.trace_id")) & (F.col("a.block_id") == F.col("b.block_id")) & (F.col("a.n") < F.col("b.n")))
-    return (
-        hit.groupBy(F.col("b.kernel_id").alias("parent_id"), F.col("a.kernel_id").alias("kernel_id"), F.col("a.trace_id").alias("trace_id"))
-        .agg(F.count("*").alias("shared"), F.max("a.n").alias("n"))
-        .where("shared = n")
-        .select("parent_id", "kernel_id", "trace_id")
-    )
+    """``parent_id, kernel_id, trace_id``: proper containment between kernels of one trace.
+
+    A kernel that holds all of another's blocks holds the one of them that the fewest
+    kernels of the trace hold; those are the candidates, of which the block lists are compared.
+    """
+    kb = kernel_blocks(spark, folder).where(F.col("trace_id").isNotNull()).select("kernel_id", "trace_id", "block_id").distinct()
+    in_all = kb.groupBy("trace_id", "block_id").agg(F.count("*").alias("holders"))
+    sets = kb.groupBy("kernel_id", "trace_id").agg(F.collect_set("block_id").alias("blocks"))
+    rare = kb.join(in_all, ["trace_id", "block_id"]).groupBy("kernel_id", "trace_id").agg(F.min_by("block_id", F.struct("holders", "block_id")).alias("block_id"))
+    found = rare.join(kb.withColumnRenamed("kernel_id", "parent_id"), ["trace_id", "block_id"]).where("kernel_id <> parent_id").drop("block_id")
+    found = found.join(sets.select("kernel_id", "trace_id", "blocks"), ["kernel_id", "trace_id"])
+    found = found.join(sets.select(F.col("kernel_id").alias("parent_id"), "trace_id", F.col("blocks").alias("outer")), ["parent_id", "trace_id"])
+    inside = (F.size("blocks") < F.size("outer")) & (F.size(F.array_except("blocks", "outer")) == 0)
+    return found.where(inside).select("parent_id", "kernel_id", "trace_id")
 
 
 def kernel_nesting(spark: SparkSession, folder: str) -> DataFrame:
@@ -202,9 +221,32 @@ ent AS (SELECT DISTINCT kernel_id, start AS block_id FROM w JOIN b ON b.block_id
 _EXITS = """xc AS (SELECT kernel_id, dst AS block_id FROM kx JOIN e ON src = block_id AND kind = 'succ'
   UNION SELECT kernel_id, calls.src FROM kx JOIN b ON b.block_id = kx.block_id AND term_kind = 'ret' JOIN calls ON calls.func_id = b.func_id), ex AS (SELECT * FROM xc ANTI JOIN kx USING (kernel_id, block_id))"""
 
+#: Rounds of removal after which the SQL below stops; kernels here are pruned in far fewer.
+_ROUNDS = 48
+
+
+def _pruned(stage: str) -> str:
+    """Rounds of removal: a block stays while it has a predecessor and a successor among those that are left."""
+    return f"""WITH RECURSIVE {KB}, kx AS (SELECT DISTINCT kernel_id, block_id FROM kb JOIN blocks USING (block_id) WHERE stage = '{stage}'), e AS (SELECT DISTINCT src, dst, kind FROM edges),
+b AS (SELECT block_id, func_id, coalesce(is_entry, false) AS entry, term_kind FROM blocks), calls AS (SELECT DISTINCT func_id, src FROM e JOIN b ON block_id = dst AND entry WHERE kind = 'call'),
+pre AS (SELECT b.block_id, src AS other FROM b JOIN e ON dst = b.block_id AND kind = 'succ' WHERE NOT entry UNION SELECT b.block_id, src FROM b JOIN calls USING (func_id) WHERE entry),
+post AS (SELECT b.block_id, dst AS other FROM b JOIN e ON src = b.block_id AND kind = 'succ' WHERE term_kind IS DISTINCT FROM 'ret' UNION SELECT b.block_id, src FROM b JOIN calls USING (func_id) WHERE term_kind = 'ret'),
+r(step, kernel_id, blocks) AS (SELECT 0, kernel_id, list(block_id) FROM kx GROUP BY 2
+  UNION ALL SELECT step + 1, kernel_id, list(x) FILTER (has_pre AND has_post) FROM (SELECT step, kernel_id, x, blocks,
+    EXISTS (SELECT 1 FROM pre WHERE pre.block_id = x AND list_contains(blocks, other)) AS has_pre, EXISTS (SELECT 1 FROM post WHERE post.block_id = x AND list_contains(blocks, other)) AS has_post
+    FROM (SELECT *, unnest(blocks) AS x FROM r WHERE step < {_ROUNDS})) GROUP BY step, kernel_id)
+SELECT k.kernel_id, coalesce(list_sort(r.blocks), CAST([] AS BIGINT[])) AS blocks FROM (SELECT DISTINCT kernel_id FROM kb WHERE stage = '{stage}') AS k LEFT JOIN r ON r.kernel_id = k.kernel_id AND step = {_ROUNDS}"""
+
+
+# the closure over the self-reachable blocks of a stage in place of all kernels' blocks
+_SPLIT = f"""WITH RECURSIVE {KB}, k0 AS (SELECT DISTINCT kernel_id, block_id FROM kb JOIN blocks USING (block_id) WHERE stage = 'TypeThree'), e AS (SELECT DISTINCT src, dst, kind FROM edges),
+b AS (SELECT block_id, func_id, coalesce(is_entry, false) AS entry, term_kind FROM blocks), i AS (SELECT DISTINCT a.kernel_id, src, dst FROM k0 AS a JOIN e ON e.src = a.block_id JOIN k0 AS b ON b.kernel_id = a.kernel_id AND b.block_id = e.dst),
+r(kernel_id, s, d) AS (SELECT kernel_id, src, dst FROM i UNION SELECT r.kernel_id, r.s, i.dst FROM r JOIN i ON i.kernel_id = r.kernel_id AND i.src = r.d), kx AS (SELECT kernel_id, s AS block_id FROM r WHERE s = d),
+{_CLOSURE[_CLOSURE.index("calls AS"):]}"""
+
 QUERIES = {
     f.__name__: f
-    for f in (block_ids, adjacency_dump, dot_edges, type3_kernels, type4_kernels, type35_kernels, reachable, self_reachable, kernel_entrances, kernel_exits, function_exits,
+    for f in (block_ids, adjacency_dump, dot_edges, kernel_graph, type3_kernels, type4_kernels, type35_kernels, reachable, reached_outside, self_reachable, kernel_entrances, kernel_exits, function_exits,
               kernel_conditionals, verify_kernels, final_kernels, kernel_nesting, top_kernels, smallest_kernel, bottom_blocks, conversion_order, kernel_names,
               kernel_functions, kernel_libs, recursion_check, entrance_functions)
 }
@@ -214,11 +256,23 @@ ORACLE = {
   WHERE kind IN ('succ', 'call') OR (kind IN ('ret', 'resume') AND kind = term_kind) GROUP BY 1) SELECT block_id, coalesce(neighbours, CAST([] AS BIGINT[])) AS neighbours FROM blocks LEFT JOIN a ON src = block_id""",
     "dot_edges": f"""{_B}, i AS (SELECT DISTINCT block_id FROM kb WHERE stage = 'TypeThreeFive')
 SELECT src, dst, 'solid' AS style FROM e WHERE kind = 'succ' AND src IN (FROM i) AND dst IN (FROM i) UNION ALL SELECT src, dst, 'dashed' FROM e WHERE kind = 'call' AND src IN (FROM i)""",
+    "kernel_graph": f"""{_B}, i AS (SELECT DISTINCT kernel_id, block_id FROM kb WHERE stage = 'TypeThreeFive'), j AS (SELECT DISTINCT block_id FROM i),
+d AS (SELECT src, dst, 'solid' AS style FROM e WHERE kind = 'succ' AND src IN (FROM j) AND dst IN (FROM j) UNION ALL SELECT src, dst, 'dashed' FROM e WHERE kind = 'call' AND src IN (FROM j)), n AS (SELECT CAST(NULL AS BIGINT) AS x)
+SELECT 0 AS section, x AS a, x AS b, 'digraph {{' AS line FROM n UNION ALL SELECT 3, x, x, '}}' FROM n
+UNION ALL SELECT 1, kernel_id, NULL, 'subgraph cluster_' || kernel_id || ' {{ label="Kernel ' || kernel_id || '"; ' || string_agg('"k' || kernel_id || 'b' || block_id || '" [label="' || block_id || '"];', ' ' ORDER BY block_id) || ' }}' FROM i GROUP BY kernel_id
+UNION ALL SELECT 2, src, dst, '"' || src || '" -> "' || dst || '" [style=' || style || '];' FROM d""",
+    "reached_outside": f"""{_CLOSURE}, c AS (SELECT kernel_id, s, d FROM r UNION SELECT kernel_id, block_id, block_id FROM kx JOIN b USING (block_id))
+SELECT DISTINCT c.kernel_id, s AS base, e.dst AS target FROM c JOIN e ON e.src = c.d LEFT JOIN kx ON kx.kernel_id = c.kernel_id AND kx.block_id = e.dst WHERE kx.block_id IS NULL""",
+    "type3_kernels": _pruned("TypeTwoFive"),
+    "type35_kernels": _pruned("TypeFour"),
+    "type4_kernels": f"""{_SPLIT}, rc(kernel_id, s, d) AS (SELECT ent.kernel_id, ent.block_id, e.dst FROM ent JOIN e ON e.src = ent.block_id AND kind IN ('succ', 'call') JOIN kx ON kx.kernel_id = ent.kernel_id AND kx.block_id = e.dst
+  UNION SELECT rc.kernel_id, rc.s, e.dst FROM rc JOIN e ON e.src = rc.d AND kind IN ('succ', 'call') JOIN kx ON kx.kernel_id = rc.kernel_id AND kx.block_id = e.dst)
+SELECT ent.kernel_id, ent.block_id AS entrance, coalesce(list_sort(list(DISTINCT rc.d) FILTER (rc.d IS NOT NULL)), CAST([] AS BIGINT[])) AS blocks FROM ent LEFT JOIN rc ON rc.kernel_id = ent.kernel_id AND rc.s = ent.block_id GROUP BY 1, 2""",
     "self_reachable": f"""WITH RECURSIVE {KB}, kx AS (SELECT DISTINCT kernel_id, block_id FROM kb), e AS (SELECT DISTINCT src, dst FROM edges),
 i AS (SELECT a.kernel_id, src, dst FROM kx AS a JOIN e ON e.src = a.block_id JOIN kx AS b ON b.kernel_id = a.kernel_id AND b.block_id = e.dst),
 r(kernel_id, s, d) AS (SELECT kernel_id, src, dst FROM i UNION SELECT r.kernel_id, r.s, i.dst FROM r JOIN i ON i.kernel_id = r.kernel_id AND i.src = r.d)
 SELECT kernel_id, s AS block_id FROM r WHERE s = d""",
-    "reachable": f"""WITH RECURSIVE {KB}, kx AS (SELECT DISTINCT kernel_id, block_id FROM kb WHERE stage = '{STAGE}'), e AS (SELECT DISTINCT src, dst FROM edges WHERE kind IN ('succ', 'call')),
+    "reachable": f"""WITH RECURSIVE {KB}, kx AS (SELECT DISTINCT kernel_id, block_id FROM kb), e AS (SELECT DISTINCT src, dst FROM edges WHERE kind IN ('succ', 'call')),
 i AS (SELECT a.kernel_id, src, dst FROM kx AS a JOIN e ON e.src = a.block_id JOIN kx AS b ON b.kernel_id = a.kernel_id AND b.block_id = e.dst),
 r(kernel_id, s, d) AS (SELECT kernel_id, src, dst FROM i UNION SELECT r.kernel_id, r.s, i.dst FROM r JOIN i ON i.kernel_id = r.kernel_id AND i.src = r.d)
 SELECT kernel_id, s AS base, d AS block_id FROM r""",
