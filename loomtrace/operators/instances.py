@@ -209,3 +209,42 @@ def read_sets(trace: DataFrame, kernels: DataFrame) -> DataFrame:
     acc = _accesses(trace, contexts(trace, kernels), "ctx")
     e = _last_store(acc).where("at.kernel_id is not null and by.kernel_id is not null")
     return e.select("trace_id", "at.kernel_id", "at.start", F.col("by.kernel_id").alias("from_kernel"), F.col("by.start").alias("from_start")).distinct()
+
+
+def dag_texts(uids: DataFrame, edges: DataFrame, part: int) -> DataFrame:
+    """``trace_id, section, part, body``: JSON of ``instances`` and ``consumer_edges`` in parts of ``part`` instances each.
+
+    The bodies of a trace in order of section and part are its text: kernels by instance,
+    then sorted producers by consumer, as lists of pairs. Traces without instances have none.
+    """
+    div = lambda c: F.floor(F.col(c) / F.lit(part)).cast("bigint")
+    name = F.regexp_replace(F.regexp_replace("kid", r"\\", r"\\\\"), '"', r'\\"')
+    inst = uids.select("trace_id", F.lit(1).alias("section"), div("uid").alias("part"), F.col("uid").alias("at"), F.concat(F.lit("["), "uid", F.lit(',"'), name, F.lit('"]')).alias("x"))
+    per = edges.groupBy("trace_id", "consumer").agg(F.array_sort(F.collect_set("producer")).alias("p"))
+    cons = per.select("trace_id", F.lit(3).alias("section"), div("consumer").alias("part"), F.col("consumer").alias("at"), F.concat(F.lit("["), "consumer", F.lit(","), F.to_json("p"), F.lit("]")).alias("x"))
+    texts = inst.unionByName(cons).groupBy("trace_id", "section", "part").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("l"))
+    comma = F.when(F.col("part") > F.min("part").over(W.partitionBy("trace_id", "section")), F.lit(",")).otherwise(F.lit(""))
+    texts = texts.select("trace_id", "section", "part", F.concat(comma, F.concat_ws(",", F.transform("l", lambda s: s["x"]))).alias("body"))
+    ends = F.explode(F.array(*[F.struct(F.lit(n).alias("section"), F.lit(b).alias("body")) for n, b in ((0, '{"KernelInstanceMap":['), (2, '],"ConsumerMap":['), (4, "]}"))]))
+    frame = uids.select("trace_id").distinct().select("trace_id", ends.alias("e")).select("trace_id", "e.section", F.lit(0).cast("bigint").alias("part"), "e.body")
+    return texts.unionByName(frame)
+
+
+def instance_lines(uids: DataFrame, edges: DataFrame) -> DataFrame:
+    """``trace_id, section, a, b, line``: in this order the lines of a GraphViz text per trace.
+
+    Section 1 has the instances (``a``) with their kernels, 2 edges to the next instance,
+    3 edges from producer ``a`` to consumer ``b``; 0 and 4 open and close the graph.
+    Instances are named by number, not by kernel.
+    """
+    none = F.lit(None).cast("bigint")
+    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    edge = lambda style: F.concat(q(F.col("a")), F.lit(" -> "), q(F.col("b")), F.lit(f" [style={style}];"))
+    row = lambda df, n, line: df.select("trace_id", F.lit(n).alias("section"), "a", "b", line.alias("line"))
+    ends = F.explode(F.array(*[F.struct(F.lit(n).alias("section"), none.alias("a"), none.alias("b"), F.lit(x).alias("line")) for n, x in ((0, "digraph {"), (4, "}"))]))
+    frame = uids.select("trace_id").distinct().select("trace_id", ends.alias("e")).select("trace_id", "e.*")
+    label = F.regexp_replace("kid", '"', r'\\"')
+    nodes = uids.select("trace_id", F.lit(1).alias("section"), F.col("uid").alias("a"), none.alias("b"), F.concat(q(F.col("uid")), F.lit(' [label="'), label, F.lit('"];')).alias("line"))
+    seq = row(uids.where("uid > 0").select("trace_id", (F.col("uid") - 1).alias("a"), F.col("uid").alias("b")), 2, edge("solid"))
+    data = row(edges.select("trace_id", F.col("producer").alias("a"), F.col("consumer").alias("b")), 3, edge("dashed"))
+    return frame.unionByName(nodes).unionByName(seq).unionByName(data)

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import instances as I
+from ..session import shared_folder
 from ..sources.tables import table
+from ..sources.texts import read_texts, write_texts
 from .traces import KB, L, kernel_blocks
 
 STAGE = "TypeTwo"
@@ -43,20 +45,32 @@ def read_sets(spark: SparkSession, folder: str) -> DataFrame:
     return I.read_sets(_t(spark, folder), kernel_blocks(spark, folder, STAGE))
 
 
+#: Instances whose entries make one part of a DAG's text.
+PART = 4096
+
+
 def dag_json(spark: SparkSession, folder: str) -> DataFrame:
-    """Per trace one JSON text: kernels by instance, and producers by consumer, as lists of pairs."""
+    """Per trace the JSON text of kernels by instance and producers by consumer, as lists of pairs, in parts to be put together in order of ``section, part``."""
+    t, k = _t(spark, folder), _kernels(spark, folder)
+    return I.dag_texts(I.instances(t, k), I.consumer_edges(t, k), PART)
+
+
+def dag_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``dag_json`` written as one file per trace and read again: numbers of instances and of consumers."""
+    path = shared_folder(spark, "dag")
+    write_texts(dag_json(spark, folder).select(F.col("trace_id").alias("name"), F.struct("section", "part").alias("part"), "body"), path, ".json")
+    j = F.from_json("body", "KernelInstanceMap array<array<string>>, ConsumerMap array<array<string>>")
+    got = read_texts(spark, path, ".json").select(F.col("name").alias("trace_id"), j.alias("j"))
+    return got.select("trace_id", F.size("j.KernelInstanceMap").alias("instances"), F.size("j.ConsumerMap").alias("consumers"))
+
+
+def instance_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """Per trace the lines of a GraphViz text of its instances: nodes, solid edges to the next instance, dashed ones from producer to consumer."""
     t, k = _t(spark, folder), _kernels(spark, folder)
-    names = I.instances(t, k).groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("uid", "kid"))).alias("m"))
-    per = I.consumer_edges(t, k).groupBy("trace_id", "consumer").agg(F.array_sort(F.collect_set("producer")).alias("p"))
-    edges = per.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("consumer", "p"))).alias("c"))
-    pair = lambda x, y: F.concat(F.lit("["), x, F.lit(","), y, F.lit("]"))
-    lists = lambda c, f: F.concat(F.lit("["), F.concat_ws(",", F.transform(c, f)), F.lit("]"))
-    inst = lists(F.col("m"), lambda x: pair(x["uid"].cast("string"), F.concat(F.lit('"'), x["kid"], F.lit('"'))))
-    cons = lists(F.coalesce("c", F.array().cast("array<struct<consumer:bigint,p:array<bigint>>>")), lambda x: pair(x["consumer"].cast("string"), F.to_json(x["p"])))
-    return names.join(edges, "trace_id", "left").select("trace_id", F.concat(F.lit('{"KernelInstanceMap":'), inst, F.lit(',"ConsumerMap":'), cons, F.lit("}")).alias("body"))
+    return I.instance_lines(I.instances(t, k), I.consumer_edges(t, k))
 
 
-QUERIES = {f.__name__: f for f in (instances, instance_seq, consumer_edges, consumer_edges_compat, read_sets, dag_json)}
+QUERIES = {f.__name__: f for f in (instances, instance_seq, consumer_edges, consumer_edges_compat, read_sets, dag_json, dag_files, instance_graph)}
 
 _EDGES = f"""WITH RECURSIVE {L}, {KB}, kk AS (SELECT trace_id, kid || '/' || kernel_id AS kid, block_id FROM kb WHERE stage = '{STAGE}' AND trace_id IS NOT NULL),
 ks AS (SELECT trace_id, block_id, list_sort(list(DISTINCT kid)) AS ks FROM kk GROUP BY 1, 2),
@@ -70,7 +84,19 @@ u AS (SELECT trace_id, seq, addr, store, CAST(NULL AS INTEGER) AS uid FROM a UNI
 w AS (SELECT trace_id, seq, addr, store, coalesce(last_value(uid IGNORE NULLS) OVER (PARTITION BY trace_id ORDER BY seq ROWS UNBOUNDED PRECEDING), -1) AS uid FROM u),
 p AS (SELECT *, last_value(CASE WHEN store THEN uid END IGNORE NULLS) OVER (PARTITION BY trace_id, addr ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prod FROM w WHERE addr IS NOT NULL)"""
 
+_DAG = f"""{_EDGES}, u0 AS (SELECT trace_id, CAST(uid AS BIGINT) AS uid, kid FROM r WHERE began), ce AS (SELECT DISTINCT trace_id, CAST(uid AS BIGINT) AS c, CAST(prod AS BIGINT) AS q FROM p WHERE NOT store AND uid >= 0 AND prod >= 0 AND prod <> uid)"""
+
 ORACLE = {
+    "dag_json": f"""{_DAG}, pc AS (SELECT trace_id, c, '[' || c || ',[' || string_agg(CAST(q AS VARCHAR), ',' ORDER BY q) || ']]' AS x FROM ce GROUP BY 1, 2),
+g AS (SELECT trace_id, 1 AS section, uid // {PART} AS part, string_agg('[' || uid || ',"' || kid || '"]', ',' ORDER BY uid) AS body FROM u0 GROUP BY 1, 2, 3
+  UNION ALL SELECT trace_id, 3, c // {PART}, string_agg(x, ',' ORDER BY c) FROM pc GROUP BY 1, 2, 3)
+SELECT trace_id, section, CAST(part AS BIGINT) AS part, CASE WHEN part > min(part) OVER (PARTITION BY trace_id, section) THEN ',' ELSE '' END || body AS body FROM g
+UNION ALL SELECT trace_id, s, 0, b FROM (SELECT DISTINCT trace_id FROM u0) CROSS JOIN (VALUES (0, '{{"KernelInstanceMap":['), (2, '],"ConsumerMap":['), (4, ']}}')) AS v(s, b)""",
+    "dag_files": f"""{_DAG} SELECT trace_id, CAST(count(*) AS INTEGER) AS instances, CAST((SELECT count(DISTINCT c) FROM ce WHERE ce.trace_id = u0.trace_id) AS INTEGER) AS consumers FROM u0 GROUP BY 1""",
+    "instance_graph": f"""{_DAG} SELECT trace_id, section, a, b, line FROM (
+SELECT DISTINCT trace_id, 0 AS section, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b, 'digraph {{' AS line FROM u0 UNION ALL SELECT DISTINCT trace_id, 4, NULL, NULL, '}}' FROM u0
+UNION ALL SELECT trace_id, 1, uid, NULL, '"' || uid || '" [label="' || kid || '"];' FROM u0 UNION ALL SELECT trace_id, 2, uid - 1, uid, '"' || (uid - 1) || '" -> "' || uid || '" [style=solid];' FROM u0 WHERE uid > 0
+UNION ALL SELECT trace_id, 3, q, c, '"' || q || '" -> "' || c || '" [style=dashed];' FROM ce)""",
     "instances": f"{_EDGES} SELECT trace_id, CAST(uid AS BIGINT) AS uid, kid, seq AS first_seq FROM r WHERE began",
     "instance_seq": f"{_EDGES} SELECT trace_id, CAST(uid - 1 AS BIGINT) AS src, CAST(uid AS BIGINT) AS dst FROM r WHERE began AND uid > 0",
     "consumer_edges": f"{_EDGES} SELECT DISTINCT trace_id, CAST(uid AS BIGINT) AS consumer, CAST(prod AS BIGINT) AS producer FROM p WHERE NOT store AND uid >= 0 AND prod >= 0 AND prod <> uid",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.values import PARSE_ID_SQL, decode_bytes, parse_id, parse_line
 from ..operators import blocks as B
 from ..operators.ordered import lines
+from ..operators.visit import visit
 from ..sources.tables import table
 
 ID_KEYS = ["BBEnter", "BBExit", "LoadAddress", "StoreAddress"]
@@ -35,12 +38,23 @@ def event_counts(spark: SparkSession, folder: str) -> DataFrame:
     return lines(_t(spark, folder)).groupBy("k").agg(F.count("*").alias("cnt"), F.count("value").alias("readable"))
 
 
+def _counter(_: str | None):
+    seen: Counter = Counter()
+    return (lambda seq, k, v: seen.update([k])), (lambda: seen.items())
+
+
+def visited_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines per trace and key, counted by a visitor."""
+    return visit(_t(spark, folder), _counter, "k string, cnt bigint")
+
+
 def parse_ids(spark: SparkSession, folder: str) -> DataFrame:
     return _t(spark, folder).where(F.col("k").isin(ID_KEYS)).select("trace_id", "seq", "v", parse_id("v").alias("value"))
 
 
 def decode_values(spark: SparkSession, folder: str) -> DataFrame:
-    return _t(spark, folder).where("k = 'LoadAddress'").select("trace_id", "seq", F.hex(decode_bytes("v")).alias("bytes"), F.length(decode_bytes("v")).alias("size"))
+    """Bytes of every value that is written as a dump; addresses serve as dumps, as the tables have no others."""
+    return _t(spark, folder).where(F.col("k").isin(ID_KEYS)).select("trace_id", "seq", F.hex(decode_bytes("v")).alias("bytes"), F.length(decode_bytes("v")).alias("size"))
 
 
 def block_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -140,14 +154,15 @@ _ONCE = _grow(_SEEDS, "g1")
 
 QUERIES = {
     f.__name__: f
-    for f in (trace_parse, event_counts, parse_ids, decode_values, block_counts, hot_seeds, valid_blocks, ranked_blocks, cooccurrence, cooccur_prob, type1_kernels,
+    for f in (trace_parse, event_counts, visited_events, parse_ids, decode_values, block_counts, hot_seeds, valid_blocks, ranked_blocks, cooccurrence, cooccur_prob, type1_kernels,
               open_blocks, label_balance, block_labels, block_labels_exit, kernel_starts, type2_kernels, type25_kernels, kernel_labels)
 }
 ORACLE = {
     "trace_parse": "SELECT trace_id, seq, k AS key, split_part(coalesce(v, ''), ':', 1) AS value FROM trace",
     "event_counts": f"WITH {L} SELECT k, count(*) AS cnt, count(x) AS readable FROM lines GROUP BY k",
+    "visited_events": f"WITH {L} SELECT trace_id, k, count(*) AS cnt FROM lines GROUP BY 1, 2",
     "parse_ids": f"SELECT trace_id, seq, v, {PARSE_ID_SQL} AS value FROM trace WHERE k IN ('BBEnter', 'BBExit', 'LoadAddress', 'StoreAddress')",
-    "decode_values": """WITH d AS (SELECT trace_id, seq, trim(v, ' ' || chr(9) || chr(13)) AS t FROM trace WHERE k = 'LoadAddress'),
+    "decode_values": """WITH d AS (SELECT trace_id, seq, trim(v, ' ' || chr(9) || chr(13)) AS t FROM trace WHERE k IN ('BBEnter', 'BBExit', 'LoadAddress', 'StoreAddress')),
 u AS (SELECT trace_id, seq, CASE WHEN regexp_full_match(t, '0[xX]([0-9a-fA-F]{2})*') THEN upper(t[3:]) END AS h FROM d)
 SELECT trace_id, seq, h AS bytes, CAST(length(h) // 2 AS INTEGER) AS size FROM u""",
     "block_counts": f"WITH {L} SELECT * FROM counts",

@@ -16,6 +16,7 @@ from decimal import Decimal, InvalidOperation
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.shred import Column, Group, Leaf, Repeated, Shredder, depth_of, instances, shred_table
@@ -359,14 +360,35 @@ def file_table(files: DataFrame, keys: list[str], body: str = "body") -> DataFra
     return levels.select(*keys, F.get(leaf("layout")["vals"], F.lit(0)).alias("layout"), F.when(F.size("levels") > 0, F.coalesce(n, F.lit(0))).alias("n_kernels"))
 
 
-def to_kernel_json(kernels: DataFrame, kid: str = "kid", blocks: str = "blocks", label: str = "label") -> DataFrame:
-    """One row ``body``: the kernel file of a (small, static-code-sized) table of kernels.
+# The members that hold the kernels of a stage, in the order of the pipeline.
+STAGES = ("TypeOne", "TypeTwo", "TypeTwoFive", "TypeThree", "TypeFour", "TypeThreeFive")
 
-    Empty kernels are left out; labels appear where they are not empty.
+
+def numbered_sets(kernels: DataFrame) -> DataFrame:
+    """``trace_id, stage, blocks, label, kid``: the different non-empty sets (``blocks``, sorted) of each trace and stage, numbered from 0 in their order.
+
+    Of equal sets the greatest label stays.
+    """
+    sets = kernels.where(F.size("blocks") > 0).groupBy("trace_id", "stage", "blocks").agg(F.max("label").alias("label"))
+    return sets.withColumn("kid", F.row_number().over(W.partitionBy("trace_id", "stage").orderBy("blocks")) - 1)
+
+
+def to_kernel_files(kernels: DataFrame, counts: DataFrame) -> DataFrame:
+    """``trace_id, body``: one kernel file per trace, with all members; its size is bounded by static code.
+
+    ``kernels``: ``trace_id, stage, blocks`` (sorted), ``label``; ``counts``: ``trace_id, block_id, cnt``.
+    ``Kernels`` holds the last stage; it and ``ValidBlocks`` are ``{}`` and ``[]`` where there
+    are none. Labels that are empty are left out; keys are in the order of text.
     """
-    entry = F.struct(F.col(kid).cast("string").alias("key"), F.struct(F.col(blocks).alias("Blocks"), F.nullif(F.col(label), F.lit("")).alias("Label")).alias("value"))
-    return (
-        kernels.where(F.size(blocks) > 0)
-        .agg(F.sort_array(F.collect_list(entry)).alias("e"))
-        .select(F.to_json(F.struct(F.map_from_entries("e").alias("Kernels"))).alias("body"))
+    sets = numbered_sets(kernels.where(F.col("trace_id").isNotNull() & F.col("stage").isin(list(STAGES)))).withColumn("key", F.col("kid").cast("string"))
+    entry = lambda stage, value: F.collect_list(F.when(F.col("stage") == stage, F.struct("key", value.alias("value"))))
+    final = F.struct(F.col("blocks").alias("Blocks"), F.nullif("label", F.lit("")).alias("Label"))
+    per = sets.groupBy("trace_id").agg(entry(STAGES[-1], final).alias("Kernels"), *[entry(n, F.col("blocks")).alias(n) for n in STAGES])
+    runs = counts.where(F.col("trace_id").isNotNull()).groupBy("trace_id").agg(
+        F.array_sort(F.collect_list("block_id")).alias("ValidBlocks"), F.collect_list(F.struct(F.col("block_id").cast("string").alias("key"), F.col("cnt").alias("value"))).alias("BlockCounts")
     )
+    all_ = per.join(runs, "trace_id", "full")
+    maps = {n: F.map_from_entries(F.array_sort(F.coalesce(n, F.array().cast(dict(all_.dtypes)[n])))) for n in ("Kernels", "BlockCounts", *STAGES)}
+    valid = F.coalesce("ValidBlocks", F.array().cast("array<bigint>"))
+    members = [maps["Kernels"].alias("Kernels"), valid.alias("ValidBlocks"), maps["BlockCounts"].alias("BlockCounts"), *[maps[n].alias(n) for n in STAGES]]
+    return all_.select("trace_id", F.to_json(F.struct(*members)).alias("body"))

@@ -9,12 +9,13 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote, unquote, urlparse
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .addresses import address, escaped, files, opened, unescaped
+
 TRACE_SCHEMA = "trace_id string, seq bigint, k string, v string"
 STATUS_SCHEMA = "trace_id string, lines bigint, damaged boolean, unfinished boolean"
 #: Rows that a task holds before it passes them on, and bytes it reads at once.
@@ -63,31 +64,6 @@ def parse_stream(chunks: Iterator[bytes]) -> Iterator[tuple[str, str | None]]:
     return iter(Stream(chunks))
 
 
-def _open(address: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(address)
-
-
-def _address(path: str) -> str:
-    """``path`` as an address ``pyarrow.fs`` takes: a plain path and ``file:/x`` are local files."""
-    u = urlparse(path)
-    if u.scheme in ("", "file"):
-        return "file://" + quote(unquote(u.path) if u.scheme else path)
-    return path
-
-
-def _files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    """``name, address`` of the files below a folder, one partition a file; the list is the driver's."""
-    from pyarrow import fs
-
-    at, root = _open(_address(path))
-    found = [f.path for f in at.get_file_info(fs.FileSelector(root, recursive=True)) if f.is_file and f.path.endswith(suffix) and not f.base_name.startswith(".")]
-    rows = [(p.rsplit("/", 1)[-1].removesuffix(suffix), p) for p in sorted(found)]
-    df = spark.createDataFrame(rows, "name string, path string")
-    return df.repartition(max(1, min(len(rows), 10_000)), "path") if rows else df
-
-
 def _chunks(at, path: str) -> Iterator[bytes]:
     with at.open_input_stream(path) as f:
         while data := f.read(READ):
@@ -100,47 +76,38 @@ def read_traces(spark: SparkSession, path: str, suffix: str = ".trc") -> DataFra
     A stream can't be split, so a file is one task's; ``seq`` is the line's number. Store
     the result as Parquet once. ``trace_status`` tells which files are damaged.
     """
-    base = _address(path)
+    base = address(path)
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, _ = _open(base)
+        at, _ = opened(base)
         for pdf in pdfs:
             for name, p in zip(pdf["name"], pdf["path"]):
                 rows = []
                 for n, (k, v) in enumerate(Stream(_chunks(at, p))):
-                    rows.append((_unescaped(name), n, k, v))
+                    rows.append((unescaped(name), n, k, v))
                     if len(rows) >= BATCH:
                         yield pd.DataFrame(rows, columns=["trace_id", "seq", "k", "v"])
                         rows = []
                 if rows:
                     yield pd.DataFrame(rows, columns=["trace_id", "seq", "k", "v"])
 
-    return _files(spark, path, suffix).mapInPandas(run, TRACE_SCHEMA)
+    return files(spark, path, suffix).mapInPandas(run, TRACE_SCHEMA)
 
 
 def trace_status(spark: SparkSession, path: str, suffix: str = ".trc") -> DataFrame:
     """``trace_id, lines, damaged, unfinished`` of all trace files under ``path``."""
-    base = _address(path)
+    base = address(path)
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, _ = _open(base)
+        at, _ = opened(base)
         for pdf in pdfs:
             rows = []
             for name, p in zip(pdf["name"], pdf["path"]):
                 s = Stream(_chunks(at, p))
-                rows.append((_unescaped(name), sum(1 for _ in s), s.damaged, s.unfinished))
+                rows.append((unescaped(name), sum(1 for _ in s), s.damaged, s.unfinished))
             yield pd.DataFrame(rows, columns=["trace_id", "lines", "damaged", "unfinished"])
 
-    return _files(spark, path, suffix).mapInPandas(run, STATUS_SCHEMA)
-
-
-def _escaped(trace: str) -> str:
-    """A trace's file name: what could be a path or a hidden file is written as ``%`` and hex digits."""
-    return quote(trace, safe="").replace(".", "%2E") if trace else "%"
-
-
-def _unescaped(name: str) -> str:
-    return "" if name == "%" else unquote(name)
+    return files(spark, path, suffix).mapInPandas(run, STATUS_SCHEMA)
 
 
 def write_traces(lines: DataFrame, path: str, level: int = LEVEL, suffix: str = ".trc") -> None:
@@ -151,20 +118,20 @@ def write_traces(lines: DataFrame, path: str, level: int = LEVEL, suffix: str =
     """
     if lines.where(F.col("trace_id").isNull()).limit(1).count():
         raise ValueError("a trace without an id has no file name")
-    base = _address(path)
-    at, root = _open(base)
+    base = address(path)
+    at, root = opened(base)
     at.create_dir(root, recursive=True)
     rows = lines.select("trace_id", "seq", "k", "v").repartition("trace_id").sortWithinPartitions("trace_id", "seq")
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, root = _open(base)
+        at, root = opened(base)
         name, out, z, n, part = None, None, None, 0, ""
 
         def close() -> None:
             out.write(z.flush())
             out.close()
             # a repeated attempt of the task writes a file of its own and replaces the other's
-            to = f"{root}/{_escaped(name)}{suffix}"
+            to = f"{root}/{escaped(name)}{suffix}"
             if at.get_file_info(to).is_file:
                 at.delete_file(to)
             at.move(part, to)

@@ -7,7 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loomtrace.operators.shred import Group, Leaf, Repeated, Shredder, depth_of, instances, shred, unshred
-from loomtrace.sources.kernel_files import _deep, block_text, file_table, kernel_rows, read_json, read_kernel_file, to_kernel_json
+from loomtrace.sources.kernel_files import _deep, block_text, file_table, kernel_rows, read_json, read_kernel_file, to_kernel_files
+from loomtrace.sources.texts import read_texts, write_texts
 
 NODE = Group()
 NODE.fields = {"name": Leaf(), "tags": Repeated(Leaf()), "kids": Repeated(NODE), "grid": Repeated(Repeated(Leaf()))}
@@ -181,10 +182,27 @@ def test_texts():
     assert read_kernel_file('{"0":[1]}')["layout"] == "flat map"
 
 
-def test_sink_round_trip(spark):
+def test_sink_round_trip(spark, tmp_path):
     rng = random.Random(1)
-    want = [(i, sorted(rng.sample(range(100), 5)), "l" if i % 2 else None) for i in range(20)]
-    df = spark.createDataFrame([*want, (99, [], None)], "kid bigint, blocks array<bigint>, label string")
-    back = kernel_rows(to_kernel_json(df), []).where("child <> 'kernel'").collect()
-    assert {(r.kid, r.item) for r in back if r.child == "block"} == {(str(k), str(b)) for k, bs, _ in want for b in bs}
-    assert {r.kid for r in back if r.child == "label"} == {str(k) for k, _, x in want if x}
+    want = {t: sorted({tuple(sorted(rng.sample(range(100), 5))) for _ in range(20)}) for t in ("a", "../b")}
+    rows = [(t, "TypeThreeFive", list(b), 'l"' if i % 2 else "") for t, bs in want.items() for i, b in enumerate(bs)]
+    rows += [(*rows[0][:3], None), ("a", "TypeOne", [7], "x"), ("a", "TypeOne", [], "x"), (None, "TypeOne", [7], "x"), ("a", "Other", [7], "x")]
+    df = spark.createDataFrame(rows, "trace_id string, stage string, blocks array<bigint>, label string")
+    counts = spark.createDataFrame([("a", 5, 2), ("a", 10, 1), ("c", 1, 1), (None, 1, 1)], "trace_id string, block_id bigint, cnt bigint")
+    bodies = to_kernel_files(df, counts)
+    got = {r.trace_id: json.loads(r.body) for r in bodies.collect()}
+    assert set(got) == {"a", "../b", "c"} and got["c"]["Kernels"] == {} and got["c"]["TypeOne"] == {} and got["a"]["TypeOne"] == {"0": [7]}
+    assert got["a"]["ValidBlocks"] == [5, 10] and got["a"]["BlockCounts"] == {"5": 2, "10": 1} and got["../b"]["ValidBlocks"] == []
+    for t, bs in want.items():
+        assert got[t]["Kernels"] == {str(i): {"Blocks": list(b)} | ({"Label": 'l"'} if i % 2 else {}) for i, b in enumerate(bs)}
+    write_texts(bodies.selectExpr("trace_id name", "0 part", "body"), str(tmp_path / "k"), ".json")
+    back = kernel_rows(read_texts(spark, str(tmp_path / "k"), ".json"), ["name"]).where("child <> 'kernel'").collect()
+    assert {(r.name, r.kid, r.item) for r in back if r.child == "block"} == {(t, str(i), str(x)) for t, bs in want.items() for i, b in enumerate(bs) for x in b}
+    assert {(r.name, r.kid) for r in back if r.child == "label"} == {(t, str(i)) for t, bs in want.items() for i in range(len(bs)) if i % 2}
+
+
+def test_texts_in_parts(spark, tmp_path):
+    df = spark.createDataFrame([("x", 2, "c"), ("x", 1, "b"), ("x", 0, None), ("y", 0, "é"), ("", 0, "z")], "name string, part int, body string")
+    for _ in range(2):
+        write_texts(df, f"file:{tmp_path}/t")
+    assert {tuple(r) for r in read_texts(spark, f"{tmp_path}/t").collect()} == {("x", "bc"), ("y", "é"), ("", "z")}
