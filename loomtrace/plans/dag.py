@@ -14,7 +14,7 @@ from .traces import KB, L, kernel_blocks
 STAGE = "TypeTwo"
 
 
-def _kernels(spark: SparkSession, folder: str) -> DataFrame:
+def kernels(spark: SparkSession, folder: str) -> DataFrame:
     """Kernels of a stage under a text key that sorts as their ``kid`` does and is unique."""
     kb = kernel_blocks(spark, folder, STAGE).where(F.col("trace_id").isNotNull())
     return kb.select("trace_id", F.concat_ws("/", "kid", F.col("kernel_id").cast("string")).alias("kid"), "block_id")
@@ -25,7 +25,7 @@ def _t(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def instances(spark: SparkSession, folder: str) -> DataFrame:
-    return I.instances(_t(spark, folder), _kernels(spark, folder))
+    return I.instances(_t(spark, folder), kernels(spark, folder))
 
 
 def instance_seq(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,11 +34,11 @@ def instance_seq(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def consumer_edges(spark: SparkSession, folder: str) -> DataFrame:
-    return I.consumer_edges(_t(spark, folder), _kernels(spark, folder))
+    return I.consumer_edges(_t(spark, folder), kernels(spark, folder))
 
 
 def consumer_edges_compat(spark: SparkSession, folder: str) -> DataFrame:
-    return I.consumer_edges(_t(spark, folder), _kernels(spark, folder), compat=True)
+    return I.consumer_edges(_t(spark, folder), kernels(spark, folder), compat=True)
 
 
 def read_sets(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,7 +51,7 @@ PART = 4096
 
 def dag_json(spark: SparkSession, folder: str) -> DataFrame:
     """Per trace the JSON text of kernels by instance and producers by consumer, as lists of pairs, in parts to be put together in order of ``section, part``."""
-    t, k = _t(spark, folder), _kernels(spark, folder)
+    t, k = _t(spark, folder), kernels(spark, folder)
     return I.dag_texts(I.instances(t, k), I.consumer_edges(t, k), PART)
 
 
@@ -66,7 +66,7 @@ def dag_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def instance_graph(spark: SparkSession, folder: str) -> DataFrame:
     """Per trace the lines of a GraphViz text of its instances: nodes, solid edges to the next instance, dashed ones from producer to consumer."""
-    t, k = _t(spark, folder), _kernels(spark, folder)
+    t, k = _t(spark, folder), kernels(spark, folder)
     return I.instance_lines(I.instances(t, k), I.consumer_edges(t, k))
 
 

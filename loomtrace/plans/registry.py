@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from types import ModuleType
 
-from . import dag, files, flow, p1, p6, program, streams, traces
+from . import dag, detect, files, flow, p1, p6, program, streams, traces
 
 
 def modules() -> list[ModuleType]:
-    return [p1, p6, traces, flow, dag, program, files, streams]
+    return [p1, p6, traces, flow, dag, program, files, streams, detect]

@@ -157,7 +157,18 @@ QUERIES = {
     for f in (trace_parse, event_counts, visited_events, parse_ids, decode_values, block_counts, hot_seeds, valid_blocks, ranked_blocks, cooccurrence, cooccur_prob, type1_kernels,
               open_blocks, label_balance, block_labels, block_labels_exit, kernel_starts, type2_kernels, type25_kernels, kernel_labels)
 }
+# seeds in order, the neighbours each would take, then one step a seed with the blocks covered so far
+_GREEDY = f"""{_PAIRS.replace('WITH ', 'WITH RECURSIVE ', 1)}, seeds AS (SELECT trace_id, block_id, row_number() OVER (PARTITION BY trace_id ORDER BY cnt DESC, block_id) AS i FROM counts WHERE cnt >= 16),
+near AS (SELECT trace_id, block_id, nbr, sum(cnt) OVER (PARTITION BY trace_id, block_id ORDER BY cnt DESC, nbr ROWS UNBOUNDED PRECEDING) - cnt AS before, sum(cnt) OVER (PARTITION BY trace_id, block_id) AS total FROM m),
+sets AS (SELECT s.trace_id, s.i, s.block_id, list_sort(list(nbr)) AS blocks FROM seeds AS s JOIN near ON near.trace_id = s.trace_id AND near.block_id = s.block_id WHERE 10 * before < 9 * total GROUP BY 1, 2, 3),
+g(trace_id, i, covered, took, blocks) AS (SELECT DISTINCT trace_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), false, CAST([] AS BIGINT[]) FROM seeds
+  UNION ALL SELECT g.trace_id, g.i + 1, CASE WHEN sets.blocks IS NULL OR list_contains(covered, s.block_id) THEN covered ELSE list_concat(covered, sets.blocks) END,
+  sets.blocks IS NOT NULL AND NOT list_contains(covered, s.block_id), coalesce(sets.blocks, CAST([] AS BIGINT[]))
+  FROM g JOIN seeds AS s ON s.trace_id = g.trace_id AND s.i = g.i + 1 LEFT JOIN sets ON sets.trace_id = s.trace_id AND sets.i = s.i)
+SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY blocks) - 1 AS kid, blocks FROM (SELECT DISTINCT trace_id, blocks FROM g WHERE took)"""
+
 ORACLE = {
+    "type1_kernels": _GREEDY,
     "trace_parse": "SELECT trace_id, seq, k AS key, split_part(coalesce(v, ''), ':', 1) AS value FROM trace",
     "event_counts": f"WITH {L} SELECT k, count(*) AS cnt, count(x) AS readable FROM lines GROUP BY k",
     "visited_events": f"WITH {L} SELECT trace_id, k, count(*) AS cnt FROM lines GROUP BY 1, 2",

@@ -1,8 +1,11 @@
-"""Single-pass analyses of traces as streams: counts, the writer of a store, changes of a cell's writer, trailing windows.
+"""Single-pass analyses of traces as streams: counts, the writer of a store, changes of a cell's writer, trailing windows, kernel instances.
 
 A stream is read once and in the order of arrival. Within a micro-batch lines are put in
-the order of ``seq``; a line that arrives after a later one of its key has been worked on
-is passed over, as are later copies. Batch operators give the exact answer for any order.
+the order of ``seq``; copies in it fall away. A line that arrives after a later one of
+its key has been worked on, be it a late line or a late copy, comes out with ``late``
+true and nothing derived, so that a sink can set it aside (``on_time``, ``late``); the
+state is not changed by it. Batch operators give the exact answer for any order. A
+trace's lines of one micro-batch are held by one task: ``files_per_batch`` bounds them.
 """
 
 from __future__ import annotations
@@ -16,16 +19,33 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.values import parse_id
+from ..operators.instances import follow
 
 TRACE = "trace_id string, seq bigint, k string, v string, ts timestamp, recv_ts timestamp"
 
 
-def stream_trace(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+#: Files of a micro-batch.
+FILES = 16
+
+
+def stream_trace(spark: SparkSession, path: str, files_per_batch: int = FILES) -> DataFrame:
     """The trace's Parquet files, old and new ones, as a stream."""
-    reader = spark.readStream.schema(TRACE)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    return spark.readStream.schema(TRACE).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+
+
+def on_time(rows: DataFrame) -> DataFrame:
+    return rows.where("not late").drop("late")
+
+
+def late(rows: DataFrame) -> DataFrame:
+    """The lines that came too late: those of their columns that the lines have themselves."""
+    return rows.where("late").drop("late")
+
+
+def _in_order(pdfs: Iterator[pd.DataFrame], last: int, by: list[str]) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """(new lines in order, once each; lines not after ``last``) of a key's part of a micro-batch."""
+    pdf = pd.concat(list(pdfs)).sort_values(by).drop_duplicates("seq")
+    return pdf[pdf["seq"] > last], pdf[pdf["seq"] <= last]
 
 
 def _lines(stream: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,18 +53,30 @@ def _lines(stream: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def block_counts(stream: DataFrame, delay: str = "60 days") -> DataFrame:
-    """Entries per trace and block so far; copies count once if received within ``delay`` of each other."""
+    """Entries per trace and block so far; copies count once if received within ``delay`` of each other.
+
+    The state holds the lines of the last ``delay``; a copy received later than that
+    counts again, which the batch operator ``block_counts`` does not do.
+    """
     rows = _lines(stream, ["BBEnter"]).withWatermark("recv_ts", delay).dropDuplicatesWithinWatermark(["trace_id", "seq"])
     return rows.groupBy("trace_id", F.col("value").alias("block_id")).agg(F.count("*").alias("cnt"))
 
 
+STORES = "trace_id string, seq bigint, addr bigint, writer bigint, late boolean"
+
+
 def writers(stream: DataFrame) -> DataFrame:
-    """``trace_id, seq, addr, writer``: each store with the last block entered before it. State: one block a trace."""
+    """``trace_id, seq, addr, writer, late``: each store with the last block entered before it. State: one block a trace.
+
+    Late entries come out too, with neither address nor writer.
+    """
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         block, last = state.get if state.exists else (None, -1)
-        pdf = pd.concat(list(pdfs)).sort_values(["seq", "k"]).drop_duplicates("seq")
-        pdf = pdf[pdf["seq"] > last]
+        pdf, old = _in_order(pdfs, last, ["seq", "k"])
+        if len(old):
+            addr = old["value"].where(old["k"] == "StoreAddress").astype("Int64")
+            yield pd.DataFrame({"trace_id": key[0], "seq": old["seq"], "addr": addr, "writer": pd.array([None] * len(old), dtype="Int64"), "late": True})
         if len(pdf):
             last = int(pdf["seq"].iloc[-1])
             entered = pdf["value"].where(pdf["k"] == "BBEnter").astype("Int64").ffill()
@@ -53,37 +85,43 @@ def writers(stream: DataFrame) -> DataFrame:
             block = None if pd.isna(entered.iloc[-1]) else int(entered.iloc[-1])
             state.update((block, last))
             out = pdf[(pdf["k"] == "StoreAddress") & entered.notna()]
-            yield pd.DataFrame({"trace_id": key[0], "seq": out["seq"], "addr": out["value"], "writer": entered.loc[out.index].astype("int64")})
+            yield pd.DataFrame({"trace_id": key[0], "seq": out["seq"], "addr": out["value"], "writer": entered.loc[out.index].astype("int64"), "late": False})
 
     rows = _lines(stream, ["BBEnter", "StoreAddress"]).select("trace_id", "seq", "k", "value")
-    return rows.groupBy("trace_id").applyInPandasWithState(step, "trace_id string, seq bigint, addr bigint, writer bigint", "block bigint, last bigint", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("trace_id").applyInPandasWithState(step, STORES, "block bigint, last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def writer_changes(stores: DataFrame) -> DataFrame:
-    """Of a stream of ``writers`` rows those whose writer is not that of the cell's store before. State: one writer a cell."""
+    """Of a stream of ``writers`` rows those whose writer is not that of the cell's store before, and the late ones. State: one writer a cell."""
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         writer, last = state.get if state.exists else (None, -1)
-        pdf = pd.concat(list(pdfs)).sort_values("seq").drop_duplicates("seq")
-        pdf = pdf[pdf["seq"] > last]
+        pdf, old = _in_order(pdfs, last, ["seq"])
+        if len(old):
+            yield old[["trace_id", "seq", "addr", "writer"]].assign(late=True)
         if len(pdf):
             before = pdf["writer"].shift(1).astype("Int64")
             if writer is not None:
                 before.iloc[0] = writer
             state.update((int(pdf["writer"].iloc[-1]), int(pdf["seq"].iloc[-1])))
-            yield pdf[(before.notna() & (before != pdf["writer"])).to_numpy(dtype=bool)][["trace_id", "seq", "addr", "writer"]]
+            changed = (before.notna() & (before != pdf["writer"])).to_numpy(dtype=bool)
+            yield pdf[changed][["trace_id", "seq", "addr", "writer"]].assign(late=False)
 
-    return stores.groupBy("trace_id", "addr").applyInPandasWithState(step, "trace_id string, seq bigint, addr bigint, writer bigint", "writer bigint, last bigint", "append", GroupStateTimeout.NoTimeout)
+    return stores.groupBy("trace_id", "addr").applyInPandasWithState(step, STORES, "writer bigint, last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def trailing_pairs(stream: DataFrame, radius: int = 5) -> DataFrame:
-    """``trace_id, block_id, nbr``, one row per pair: the newest block and each of the last ``2 radius + 1``, once more than ``radius`` were seen. State: those blocks."""
+    """``trace_id, block_id, nbr, late``, one row per pair: the newest block and each of the last ``2 radius + 1``, once more than ``radius`` were seen.
+
+    State: those blocks. A late entry gives one row without ``nbr``.
+    """
     reach = 2 * radius
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, n, last = state.get if state.exists else ([], 0, -1)
-        pdf = pd.concat(list(pdfs)).sort_values("seq").drop_duplicates("seq")
-        pdf = pdf[pdf["seq"] > last]
+        pdf, old = _in_order(pdfs, last, ["seq"])
+        if len(old):
+            yield pd.DataFrame({"trace_id": key[0], "block_id": old["value"], "nbr": pd.array([None] * len(old), dtype="Int64"), "late": True})
         if not len(pdf):
             return
         held, a, b = list(held), [], []
@@ -94,10 +132,35 @@ def trailing_pairs(stream: DataFrame, radius: int = 5) -> DataFrame:
                 a += [x] * len(held)
                 b += held
         state.update((held[-reach:], n, int(pdf["seq"].iloc[-1])))
-        yield pd.DataFrame({"trace_id": key[0], "block_id": a, "nbr": b})
+        yield pd.DataFrame({"trace_id": key[0], "block_id": a, "nbr": b, "late": False})
+
+    rows = _lines(stream, ["BBEnter"]).select("trace_id", "seq", "value")
+    return rows.groupBy("trace_id").applyInPandasWithState(step, "trace_id string, block_id bigint, nbr bigint, late boolean", "held array<bigint>, n bigint, last bigint", "append", GroupStateTimeout.NoTimeout)
+
 
+def instances(stream: DataFrame, kernels: DataFrame) -> DataFrame:
+    """``trace_id, uid, kid, first_seq, late``: activations of kernels, numbered from 0 in each trace. State: the current kernel and the number.
+
+    ``kernels`` (``trace_id, kid, block_id``, static) may overlap. A late entry gives one
+    row with its ``seq`` alone. Entries of traces without an id have no kernels.
+    """
+    kb = kernels.groupBy(F.col("trace_id").alias("_t"), F.col("block_id").alias("_b")).agg(F.array_sort(F.collect_set("kid")).alias("ks"))
     rows = _lines(stream, ["BBEnter"]).select("trace_id", "seq", "value")
-    return rows.groupBy("trace_id").applyInPandasWithState(step, "trace_id string, block_id bigint, nbr bigint", "held array<bigint>, n bigint, last bigint", "append", GroupStateTimeout.NoTimeout)
+    rows = rows.join(kb, (F.col("trace_id") == F.col("_t")) & (F.col("value") == F.col("_b")), "left").select("trace_id", "seq", F.coalesce("ks", F.array().cast("array<string>")).alias("ks"))
+
+    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kid, uid, last = state.get if state.exists else (None, -1, -1)
+        pdf, old = _in_order(pdfs, last, ["seq"])
+        if len(old):
+            none = [None] * len(old)
+            yield pd.DataFrame({"trace_id": key[0], "uid": pd.array(none, dtype="Int64"), "kid": none, "first_seq": old["seq"], "late": True})
+        if len(pdf):
+            end, new, path = follow([list(x) for x in pdf["ks"]], kid)
+            began = [(s, k) for s, (k, b) in zip(pdf["seq"].tolist(), path) if b]
+            state.update((end, uid + new, int(pdf["seq"].iloc[-1])))
+            yield pd.DataFrame({"trace_id": key[0], "uid": range(uid + 1, uid + 1 + new), "kid": [k for _, k in began], "first_seq": [s for s, _ in began], "late": False})
+
+    return rows.groupBy("trace_id").applyInPandasWithState(step, "trace_id string, uid bigint, kid string, first_seq bigint, late boolean", "kid string, uid bigint, last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def to_files(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:

@@ -22,7 +22,7 @@ def test_batches(spark, tmp_path):
     src = lambda: S.stream_trace(spark, str(tmp_path / "in"), files_per_batch=1)
     at = lambda n: str(tmp_path / n)
     S.to_files(S.writers(src()), at("w"), at("w-state")).start().awaitTermination()
-    stores = spark.read.schema("trace_id string, seq bigint, addr bigint, writer bigint").parquet(at("w"))
+    stores = S.on_time(spark.read.schema(S.STORES).parquet(at("w")))
     block, want, entered = {}, set(), {}
     for t, s, k, v, *_ in events:
         if k == "BBEnter":
@@ -31,17 +31,17 @@ def test_batches(spark, tmp_path):
         elif k == "StoreAddress" and t in block:
             want.add((t, s, int(v), block[t]))
     assert {tuple(r) for r in stores.collect()} == want
-    second = spark.readStream.schema("trace_id string, seq bigint, addr bigint, writer bigint").parquet(at("w"))
+    second = S.on_time(spark.readStream.schema(S.STORES).parquet(at("w")))
     S.to_files(S.writer_changes(second), at("c"), at("c-state")).start().awaitTermination()
     cell, changed = {}, set()
     for t, s, a, w in sorted(want, key=lambda x: x[1]):
         if cell.get((t, a), w) != w:
             changed.add((t, s, a, w))
         cell[t, a] = w
-    assert {tuple(r) for r in spark.read.schema("trace_id string, seq bigint, addr bigint, writer bigint").parquet(at("c")).collect()} == changed
+    assert {tuple(r) for r in S.on_time(spark.read.schema(S.STORES).parquet(at("c"))).collect()} == changed
     S.to_latest(S.block_counts(src()), at("n"), at("n-state")).start().awaitTermination()
     assert {(r.trace_id, r.block_id): r.cnt for r in spark.read.parquet(at("n")).collect()} == {(t, b): n for t, e in entered.items() for b, n in Counter(e).items()}
     S.to_files(S.trailing_pairs(src()), at("p"), at("p-state")).start().awaitTermination()
     pairs = Counter((t, e[i], x) for t, e in entered.items() for i in range(5, len(e)) for x in e[max(0, i - 10) : i + 1])
-    got = spark.read.schema("trace_id string, block_id bigint, nbr bigint").parquet(at("p"))
+    got = S.on_time(spark.read.schema("trace_id string, block_id bigint, nbr bigint, late boolean").parquet(at("p")))
     assert Counter(tuple(r) for r in got.collect()) == pairs
