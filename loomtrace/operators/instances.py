@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.arrow import plain
 from ..session import written
 from .blocks import entries
 from .ordered import events, in_chunk, join_null_safe, latest_before, numbered, with_chunk
@@ -68,7 +69,7 @@ def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tup
     """Rows of each (trace, ...) of ``width`` columns, of batches in which they follow each other."""
     key, held = None, []
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns)):
+        for row in zip(*(plain(c) for c in b.columns)):
             if row[:width] != key:
                 if held:
                     yield key, held
@@ -121,7 +122,7 @@ def activations(trace: DataFrame, kernels: DataFrame) -> DataFrame:
         key, state = None, None
         for b in batches:
             out = []
-            for t, stretch, c, before, steps in zip(*(x.to_pylist() for x in b.columns)):
+            for t, stretch, c, before, steps in zip(*(plain(x) for x in b.columns)):
                 if (t, stretch) != key:
                     key, state = (t, stretch), before
                 by = {x["a"]: x for x in steps}

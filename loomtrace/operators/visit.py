@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..functions.arrow import plain
 from .ordered import lines
 
 Visitor = Callable[[int, str | None, str | None], Iterable[tuple] | None]
@@ -39,7 +40,7 @@ def visit(trace: DataFrame, make: Callable[[str | None], tuple[Visitor, Callable
             return got
 
         for b in batches:
-            for t, seq, k, v in zip(*(c.to_pylist() for c in b.columns)):
+            for t, seq, k, v in zip(*(plain(c) for c in b.columns)):
                 if t != current:
                     if end is not None:
                         out += [(current, *x) for x in end() or ()]

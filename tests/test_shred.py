@@ -6,6 +6,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from loomtrace.functions.arrow import plain
 from loomtrace.operators.shred import Group, Leaf, Repeated, Shredder, depth_of, instances, shred, unshred
 from loomtrace.sources.kernel_files import _deep, block_text, file_table, kernel_rows, read_json, read_kernel_file, to_kernel_files
 from loomtrace.sources.texts import read_texts, write_texts
@@ -201,6 +202,15 @@ def test_sink_round_trip(spark, tmp_path):
     assert {(r.name, r.kid) for r in back if r.child == "label"} == {(t, str(i)) for t, bs in want.items() for i in range(len(bs)) if i % 2}
 
 
+def test_plain():
+    import pyarrow as pa
+
+    cols = [[1, 2, 3], [None, None], [1, None], ["a", "b"], [True, False], [[1, 2], [], [3]], [["x"], ["y", "z"]], [[1], None], [[1, None]], [{"a": 1}], [1.5], []]
+    for c in cols:
+        a = pa.array(c)
+        assert plain(a) == c and plain(a[1:]) == c[1:]
+
+
 def test_texts_in_parts(spark, tmp_path):
     df = spark.createDataFrame([("x", 2, "c"), ("x", 1, "b"), ("x", 0, None), ("y", 0, "é"), ("", 0, "z")], "name string, part int, body string")
     for _ in range(2):
