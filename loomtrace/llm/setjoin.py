@@ -22,14 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrow import plain
 from ..session import written
 
 #: Records of one item that one task indexes; items with more are partitioned by a second item too, and split where that has more.
 SHARD = 20_000
 #: Bound of the broadcast list of partitions that are split.
 MOST_SPLIT = 100_000
-#: Share of the classes from which an item counts as frequent; bounds the broadcast list of their counts.
-FREQUENT = 0.01
 
 
 def needed(a: int, b: int, num: int, den: int) -> int:
@@ -72,13 +71,20 @@ class Lists:
         self.ids: list[int] = []
         self.lists: dict = {}
 
-    def add(self, rid: int, items: list) -> None:
+    def add(self, rid: int, items: list, *all_have: object) -> None:
+        """A record; the items ``all_have`` are not listed, as every record of the partition has them."""
         n = len(self.ids)
         self.sizes.append(len(items))
         self.ids.append(rid)
+        lists = self.lists
+        if not n:
+            self.lists = {x: [0] for x in items if x not in all_have}
+            return
         for x in items:
-            if (found := self.lists.get(x)) is None:
-                self.lists[x] = [n]
+            if x in all_have:
+                continue
+            if (found := lists.get(x)) is None:
+                lists[x] = [n]
             else:
                 found.append(n)
 
@@ -92,33 +98,47 @@ class Lists:
         size, num, den = len(items), self.num, self.den
         least = -(-num * size // den)
         lo, hi = bisect_left(self.sizes, least), len(self.sizes)
-        t = needed(size, least, num, den)
-        if lo >= hi or size - first < t:
+        known = 1 if second is None else 2
+        t = needed(size, least, num, den) - known
+        # items before the first one shared take no part, nor do those between the first two
+        others = items[first + 1 :] if second is None else items[second + 1 :]
+        if lo >= hi or len(others) < t:
             return
+        # items come with the rarest first, so the last lists are the longest: they are left to bisection, and
+        # the others must still show t - n_long occurrences
+        n_long = min(t - 1, max(1, int(t / (0.01 * math.log2(hi - lo + 1) + 1)))) if t > 1 and hi - lo > 1 else max(t - 1, 0)
+        cut = len(others) - n_long
         lists, at, ends = [], [], []
-        # items before the first one shared take no part
-        for x in items[first:]:
+        for x in others[:cut]:
             if found := self.lists.get(x):
                 a = bisect_left(found, lo) if lo else 0
                 if a < len(found):
                     lists.append(found)
                     at.append(a)
                     ends.append(len(found))
-        if len(lists) < t:
+        if len(lists) < t - n_long:
             return
-        # the longest lists are left to bisection; the others must still show t - n_long occurrences
-        by_length = sorted(range(len(lists)), key=lambda i: ends[i] - at[i])
-        longest = ends[by_length[-1]] - at[by_length[-1]]
-        n_long = min(t - 1, max(1, int(t / (0.01 * math.log2(longest + 1) + 1))) if longest > 1 else 0)
-        short, long = by_length[: len(lists) - n_long], by_length[len(lists) - n_long :]
-        rest = [(lists[i], at[i], ends[i]) for i in long]
+        if t > 0:
+            rest, candidates = others[cut:], merge_skip(lists, at, ends, t - n_long)
+        else:
+            rest, candidates = others, ((n, 0) for n in range(lo, hi))
         apart = items[:first] if second is None else items[:first] + items[first + 1 : second]
-        for n, count in merge_skip([lists[i] for i in short], [at[i] for i in short], [ends[i] for i in short], t - n_long):
-            for found, a, b in rest:
-                k = bisect_left(found, n, a, b)
-                count += k < b and found[k] == n
-            if count >= needed(size, self.sizes[n], num, den) and not any(self._has(x, n) for x in apart):
-                yield self.ids[n], self.sizes[n], count
+        total, sizes = num + den, self.sizes
+        for n, count in candidates:
+            # how many of the lists left may miss it
+            spare = count + known + len(rest) - -(-num * (size + sizes[n]) // total)
+            if spare < 0:
+                continue
+            for x in rest:
+                if self._has(x, n):
+                    count += 1
+                elif spare:
+                    spare -= 1
+                else:
+                    break
+            else:
+                if not any(self._has(x, n) for x in apart):
+                    yield self.ids[n], sizes[n], count + known
 
 
 def clean_sets(df: DataFrame, rid: str, items: str, keep: str | None = None) -> DataFrame:
@@ -142,23 +162,16 @@ def set_classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes, members
 
 
-def _by_rarity(classes: DataFrame) -> DataFrame:
-    """``class_id, side, size, items, n``: items with the rarest first (ties by the item), and in how many classes each is."""
-    long = classes.select("class_id", "side", F.explode("items").alias("x"))
+def _by_rarity(classes: DataFrame, own: list[str]) -> DataFrame:
+    """``own`` columns, ``size, items, n``: items with the rarest first (ties by the item), and in how many classes each is.
+
+    An item that a third of the classes hold has one row of each of them, which Spark's
+    handling of skewed joins splits.
+    """
+    long = classes.select(*own, F.explode("items").alias("x"))
     counts = long.groupBy("x").agg(F.count("*").alias("n"))
-    total = classes.agg(F.count("*")).scalar()
-    counts = counts.withColumn("frequent", F.col("n") > F.greatest(F.lit(100.0), F.lit(FREQUENT) * total))
-    # at most (mean set size / FREQUENT) frequent items, whose rows would otherwise meet in a few tasks
-    hot = counts.where("frequent").select(F.col("x").alias("hx"), F.col("n").alias("hn"))
-    tagged = long.join(F.broadcast(hot), F.col("x") == F.col("hx"), "left")
-    common = tagged.where(F.col("hn").isNotNull()).select("class_id", "side", "x", F.col("hn").alias("n"))
-    rare = tagged.where(F.col("hn").isNull()).select("class_id", "side", "x").join(counts.where(~F.col("frequent")).select("x", "n"), "x").select("class_id", "side", "x", "n")
-    return (
-        common.unionByName(rare)
-        .groupBy("class_id", "side")
-        .agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("o"))
-        .select("class_id", "side", F.size("o").alias("size"), F.col("o.x").alias("items"), F.col("o.n").alias("n"))
-    )
+    rows = long.join(counts, "x").groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("o"))
+    return rows.select(*own, F.size("o").alias("size"), F.col("o.x").alias("items"), F.col("o.n").alias("n"))
 
 
 def similar_classes(classes: DataFrame, num: int, den: int, shard: int = SHARD, side: str | None = None) -> DataFrame:
@@ -170,33 +183,34 @@ def similar_classes(classes: DataFrame, num: int, den: int, shard: int = SHARD,
     side must not have the same set. The classes are stored once on the way.
     """
     kind = dict(classes.dtypes)["items"]
-    one = classes.select("class_id", (F.col(side).cast("string") if side else F.lit("")).alias("side"), "items")
-    sets, _ = written(_by_rarity(one))
+    key = ["class_id", "side"] if side else ["class_id"]
+    one = classes.select("class_id", *([F.col(side).cast("string").alias("side")] if side else []), "items")
+    sets, _ = written(_by_rarity(one, key))
     prefix = F.col("size") - F.ceil(F.col("size") * num / F.lit(float(den)) - F.lit(1e-9)).cast("int") + 1
-    own = ["class_id", "side", "size", "items"]
+    own = [*key, "size", "items"]
     # an item no other class has is shared by no pair
     keyed = sets.select(*own, F.col("n").alias("ns"), prefix.alias("p"), F.posexplode(F.slice(F.arrays_zip(F.col("items").alias("x"), F.col("n").alias("n")), F.lit(1), prefix)).alias("pos", "s"))
     keyed = keyed.select(*own, "ns", "p", "pos", "s.x", "s.n").where("n > 1")
     # two different sets that share one item only are less than half alike, so others share a second one, among one item more
     paired = 2 * num > den
-    plain = (F.col("n") <= shard) if paired else F.lit(True)
-    cold = keyed.where(plain).select(*own, "pos", "x", F.lit(None).cast("int").alias("pos2"), F.lit(None).cast(kind[6:-1]).alias("y"))
-    hot = keyed.where(~plain)
+    few = (F.col("n") <= shard) if paired else F.lit(True)
+    cold = keyed.where(few).select(*own, "pos", "x", F.lit(None).cast("int").alias("pos2"), F.lit(None).cast(kind[6:-1]).alias("y"))
+    hot = keyed.where(~few)
     after = F.slice(F.arrays_zip(F.col("items").alias("x"), F.col("ns").alias("n")), F.col("pos") + 2, F.greatest(F.col("p") - F.col("pos"), F.lit(0)))
     hot = hot.select(*own, "pos", "x", F.posexplode(after).alias("k", "s")).where("s.n > 1").select(*own, "pos", "x", (F.col("pos") + 1 + F.col("k")).alias("pos2"), F.col("s.x").alias("y"))
     if side:
         # equal sets of one item each, one on either side
-        hot = hot.unionByName(keyed.where(~plain).where("size = 1").select(*own, "pos", "x", F.lit(None).cast("int").alias("pos2"), F.lit(None).cast(kind[6:-1]).alias("y")))
+        hot = hot.unionByName(keyed.where(~few).where("size = 1").select(*own, "pos", "x", F.lit(None).cast("int").alias("pos2"), F.lit(None).cast(kind[6:-1]).alias("y")))
     rows = cold.unionByName(hot)
     large = rows if not paired else hot
     groups = large.groupBy("x", "y").agg(F.count("*").alias("n")).where(F.col("n") > shard)
     split = groups.orderBy(F.desc("n"), "x", "y").limit(MOST_SPLIT).select(F.col("x").alias("sx"), F.col("y").alias("sy"), F.ceil(F.col("n") / F.lit(float(shard))).cast("int").alias("shards"))
     rows = rows.join(F.broadcast(split), F.col("x").eqNullSafe(F.col("sx")) & F.col("y").eqNullSafe(F.col("sy")), "left").withColumn("shards", F.coalesce("shards", F.lit(1))).drop("sx", "sy")
-    mine = F.pmod(F.xxhash64("class_id", "side"), F.col("shards")).cast("int")
+    mine = F.pmod(F.xxhash64(*key), F.col("shards")).cast("int")
     # in a split partition every record is held by its shard and asks all shards
     rows = rows.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("held", F.col("shard") == mine)
-    cols = ["x", "y", "shard", "held", "class_id", "side", "pos", "pos2", "items"]
-    rows = rows.repartition("x", "y", "shard").sortWithinPartitions("x", "y", "shard", "size", "class_id", "side").select(*cols)
+    cols = ["x", "y", "shard", "held", "pos", "pos2", "items", *key]
+    rows = rows.repartition("x", "y", "shard").sortWithinPartitions("x", "y", "shard", "size", *key).select(*cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -207,32 +221,28 @@ def similar_classes(classes: DataFrame, num: int, den: int, shard: int = SHARD,
             return got
 
         current: tuple | None = None
+        # the latest record joins the lists only when there is a next one
         waiting: tuple | None = None
         lists: dict[str, Lists] = {}
         for b in batches:
-            values = b.column(8)
-            flat, ends = values.flatten().to_pylist(), values.offsets.to_pylist()
-            base = ends[0]
-            columns = [b.column(i).to_pylist() for i in range(8)]
-            for i, (x, y, k, held, rid, s, pos, pos2) in enumerate(zip(*columns)):
-                items = flat[ends[i] - base : ends[i + 1] - base]
+            columns = [plain(b.column(i)) for i in range(8)]
+            sides = plain(b.column(8)) if side else [""] * b.num_rows
+            for x, y, k, held, pos, pos2, items, rid, s in zip(*columns, sides):
                 if (x, y, k) != current:
                     current, waiting, lists = (x, y, k), None, {}
                 elif waiting is not None:
-                    # lists are begun for the second record only
-                    first_id, first_side, first_items = waiting
+                    side_, *record = waiting
+                    if (index := lists.get(side_)) is None:
+                        index = lists[side_] = Lists(num, den)
+                    index.add(*record, *((x,) if y is None else (x, y)))
                     waiting = None
-                    lists.setdefault(first_side, Lists(num, den)).add(first_id, first_items)
                 for t, index in lists.items():
                     if side is None or t != s:
                         for other, size, overlap in index.probe(items, pos, pos2):
                             flip = (t < s) if side is not None else (other < rid)
                             out.append((other, rid, overlap, size, len(items)) if flip else (rid, other, overlap, len(items), size))
                 if held:
-                    if not lists and waiting is None:
-                        waiting = (rid, s, items)
-                    else:
-                        lists.setdefault(s, Lists(num, den)).add(rid, items)
+                    waiting = (s, rid, items)
                 if len(out) >= 20_000:
                     yield flush()
         if out:
