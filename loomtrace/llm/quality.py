@@ -56,7 +56,6 @@ def learn_common(df: DataFrame, text: str, group: str | None = None) -> frozense
 
         for b in batches:
             for g, words in zip(b.column(0).to_pylist(), free_words(b.column(1).to_pylist())):
-                held[g, None] += 1
                 held.update((g, w) for w in words)
                 if len(held) > HELD_WORDS:
                     yield flush()
@@ -65,11 +64,11 @@ def learn_common(df: DataFrame, text: str, group: str | None = None) -> frozense
 
     counts = one.mapInArrow(run, "g string, w string, n bigint").groupBy("g", "w").agg(F.sum("n").alias("n"))
     # one row per group: the number of its texts
-    sizes = counts.where("w is null").select("g", F.col("n").alias("size"))
+    sizes = one.groupBy("g").agg(F.count("*").alias("size"))
     total = sizes.agg(F.sum("size")).scalar()
     named = sizes.select(F.col("g").alias("g0"), F.when(F.col("size") >= LEAST_GROUP * total, F.struct("g")).alias("at"), "size")
     large = named.groupBy("at").agg(F.sum("size").alias("size"))
-    rows = counts.where("w is not null").join(named.select("g0", "at"), F.col("g").eqNullSafe(F.col("g0"))).groupBy("at", "w").agg(F.sum("n").alias("n"))
+    rows = counts.join(named.select("g0", "at"), F.col("g").eqNullSafe(F.col("g0"))).groupBy("at", "w").agg(F.sum("n").alias("n"))
     rows = rows.join(large.withColumnRenamed("at", "at2"), F.col("at").eqNullSafe(F.col("at2")))
     return frozenset(r["w"] for r in rows.where((F.col("n") >= F.col("size") * COMMON_SHARE) & (F.col("n") >= COMMON_LEAST)).select("w").distinct().collect())
 
