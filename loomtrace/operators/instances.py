@@ -114,9 +114,11 @@ def activations(trace: DataFrame, kernels: DataFrame) -> DataFrame:
     per = steps.groupBy("trace_id", "chunk").agg(F.collect_list(F.struct("a", "b", "n")).alias("steps"))
     per, _ = written(per)
     along = W.partitionBy("trace_id").orderBy("chunk")
-    same = F.size(F.array_distinct(F.transform("steps", lambda s: s["b"]))) == 1
-    per = per.withColumn("ends", same).withColumn("_new", F.when(F.coalesce(F.lag("ends").over(along), F.lit(True)), 1).otherwise(0))
-    per = per.withColumns({"stretch": F.sum("_new").over(along), "before": F.lag(F.when(F.col("ends"), F.col("steps")[0]["b"])).over(along)})
+    # along a trace go small rows only: whether a chunk's end state depends on what was before, and the state
+    ends = per.select("trace_id", "chunk", (F.size(F.array_distinct(F.transform("steps", lambda s: s["b"]))) == 1).alias("ends"), F.col("steps")[0]["b"].alias("b"))
+    ends = ends.withColumn("_new", F.when(F.coalesce(F.lag("ends").over(along), F.lit(True)), 1).otherwise(0))
+    ends = ends.select("trace_id", "chunk", F.sum("_new").over(along).alias("stretch"), F.lag(F.when(F.col("ends"), F.col("b"))).over(along).alias("before"))
+    per = join_null_safe(per, ends, ["trace_id", "chunk"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None

@@ -6,7 +6,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomtrace.functions.arrow import plain
+from loomtrace.functions.arrow import plain as values
 from loomtrace.operators.shred import Group, Leaf, Repeated, Shredder, depth_of, instances, shred, unshred
 from loomtrace.sources.kernel_files import _deep, block_text, file_table, kernel_rows, read_json, read_kernel_file, to_kernel_files
 from loomtrace.sources.texts import read_texts, write_texts
@@ -208,7 +208,7 @@ def test_plain():
     cols = [[1, 2, 3], [None, None], [1, None], ["a", "b"], [True, False], [[1, 2], [], [3]], [["x"], ["y", "z"]], [[1], None], [[1, None]], [{"a": 1}], [1.5], []]
     for c in cols:
         a = pa.array(c)
-        assert plain(a) == c and plain(a[1:]) == c[1:]
+        assert values(a) == c and values(a[1:]) == c[1:]
 
 
 def test_texts_in_parts(spark, tmp_path):
