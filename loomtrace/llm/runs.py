@@ -19,18 +19,19 @@ from ..operators.ordered import CHUNK
 RUN = ("first_pos", "last_pos", "entries", "first_ts", "last_ts")
 
 
-def _number(df: DataFrame, group: list[str], order: list[str], event: str, cut: Column) -> DataFrame:
-    """``df`` with ``_run``: changes of ``event`` (or ``cut``) summed up along ``order``."""
+def _number(df: DataFrame, group: list[str], order: list[str], first: str, last: str, cut: Column, within: float | None) -> DataFrame:
+    """``df`` with ``_run``: changes from the ``last`` event of a row to the ``first`` of the next (or ``cut``) summed up along ``order``."""
     w = W.partitionBy(*group).orderBy(*order)
-    starts = F.col("_prev").isNull() | (F.col(event) != F.col("_prev")) | cut
+    other = F.col(first) != F.col("_prev") if within is None else F.abs(F.col(first) - F.col("_prev")) > within
+    starts = F.col("_prev").isNull() | other | cut
     return (
-        df.withColumn("_prev", F.lag(event).over(w))
+        df.withColumn("_prev", F.lag(last).over(w))
         .withColumn("_run", F.sum(F.when(starts, 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)))
         .drop("_prev")
     )
 
 
-def collapse_runs(df: DataFrame, sequence: str, position: str, event: str, ts: str, max_gap: int | None = None, width: int = CHUNK) -> DataFrame:
+def collapse_runs(df: DataFrame, sequence: str, position: str, event: str, ts: str, max_gap: int | None = None, width: int = CHUNK, within: float | None = None) -> DataFrame:
     """One row per longest run of equal ``event`` values: ``sequence``, ``event`` and the columns ``RUN``.
 
     Rows whose ``position`` or ``event`` is null are no events; they neither count nor
@@ -38,7 +39,8 @@ def collapse_runs(df: DataFrame, sequence: str, position: str, event: str, ts: s
     count once (if they disagree, the smallest value is taken). A null sequence is one
     like others. ``ts`` may be null; ``first_ts`` and ``last_ts`` are the earliest and
     latest known time in the run. With ``max_gap`` a run also ends where positions are
-    further apart. Near-identical events are made equal by the caller, by normalising.
+    further apart. With ``within``, events are numbers and a run goes on while each differs
+    from the one before by no more than that; it has the event of its first row.
     """
     ev = df.where(F.col(position).isNotNull() & F.col(event).isNotNull()).select(
         F.col(sequence).alias("_s"), F.col(position).alias("_p"), F.col(event).alias("_e"), F.col(ts).alias("_t"),
@@ -53,10 +55,11 @@ def collapse_runs(df: DataFrame, sequence: str, position: str, event: str, ts: s
     )
     gap = F.lit(False) if max_gap is None else F.coalesce(F.col("_p") - F.col("_pp") > max_gap, F.lit(False))
     local = (
-        _number(ev, ["_s", "_c"], ["_p", "_e"], "_e", gap)
+        _number(ev, ["_s", "_c"], ["_p", "_e"], "_e", "_e", gap, within)
         .groupBy("_s", "_c", "_run")
         .agg(
-            F.first("_e").alias("_e"), F.min("_p").alias("first_pos"), F.max("_p").alias("last_pos"),
+            *([F.first("_e").alias("_e"), F.first("_e").alias("_l")] if within is None else [F.min_by("_e", "_p").alias("_e"), F.max_by("_e", "_p").alias("_l")]),
+            F.min("_p").alias("first_pos"), F.max("_p").alias("last_pos"),
             F.sum(F.col("_new").cast("bigint")).alias("entries"), F.min("_t").alias("first_ts"), F.max("_t").alias("last_ts"),
         )
     )
@@ -70,10 +73,10 @@ def collapse_runs(df: DataFrame, sequence: str, position: str, event: str, ts: s
     gap = (F.coalesce(F.lag("_c").over(along) == F.col("_c"), F.lit(False)))
     edge = edge.withColumn("_cut", gap if max_gap is None else gap | F.coalesce(F.col("first_pos") - F.col("_lastpos") > max_gap, F.lit(False)))
     joined = (
-        _number(edge.drop("_run"), ["_s"], ["_at"], "_e", F.col("_cut"))
+        _number(edge.drop("_run"), ["_s"], ["_at"], "_e", "_l", F.col("_cut"), within)
         .groupBy("_s", "_run")
         .agg(
-            F.first("_e").alias("_e"), F.min("first_pos").alias("first_pos"), F.max("last_pos").alias("last_pos"),
+            (F.first("_e") if within is None else F.min_by("_e", "first_pos")).alias("_e"), F.min("first_pos").alias("first_pos"), F.max("last_pos").alias("last_pos"),
             F.sum("entries").alias("entries"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
         )
         .select("_s", "_e", *RUN)

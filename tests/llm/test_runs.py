@@ -44,6 +44,26 @@ def test_runs(spark, width, gap):
     assert len(got) == len(set(got)) and set(got) == model(rows, gap)
 
 
+@pytest.mark.parametrize("width", [1, 5, 1000])
+def test_near_runs(spark, width):
+    """Runs of numbers that drift: each near the one before, whatever the chunks."""
+    rng, rows, x = random.Random(width), [], 0
+    for p in range(200):
+        x += rng.choice([0, 0, 1, -1, 2, 7, -9])
+        rows.append(("a", p, x if p % 11 else None, p))
+    df = spark.createDataFrame(rows, "s string, p bigint, e bigint, t bigint")
+    want, last = [], None
+    for _, p, e, t in rows:
+        if e is not None:
+            if last is not None and abs(e - last) <= 2:
+                want[-1][2:5] = [p, want[-1][3] + 1, want[-1][4]]
+            else:
+                want.append([e, p, p, 1, t])
+            last = e
+    got = collapse_runs(df, "s", "p", "e", "t", width=width, within=2).collect()
+    assert sorted((r.e, r.first_pos, r.last_pos, r.entries, r.first_ts) for r in got) == sorted(map(tuple, want))
+
+
 def test_one_run_over_many_chunks(spark):
     df = spark.range(5000).select(F.lit("a").alias("s"), F.col("id").alias("p"), F.lit(1).alias("e"), F.col("id").alias("t"))
     assert [tuple(r) for r in collapse_runs(df, "s", "p", "e", "t", width=100).collect()] == [("a", 1, 0, 4999, 5000, 0, 4999)]
