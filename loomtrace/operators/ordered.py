@@ -119,19 +119,19 @@ def numbered(df: DataFrame) -> DataFrame:
     return rows.withColumn("n", F.coalesce("_n", F.lit(0)) + F.col("n")).drop("_n")
 
 
-#: Ranges of lines are put together from pieces of 1, 2^8, 2^16, ... lines.
-BITS, LEVELS = 8, 8
+#: The narrowest pieces of lines have 2^6; those that whole pieces are put together to, 2^14, 2^22, ...
+FIRST, BITS, LEVELS = 6, 8, 7
 #: Ends of a range that is open: as far as the widest pieces reach.
-FROM_START, FOREVER = -(1 << BITS * (LEVELS - 1)), (1 << BITS * (LEVELS - 1)) - 1
+FROM_START, FOREVER = -(1 << FIRST + BITS * (LEVELS - 1)), (1 << FIRST + BITS * (LEVELS - 1)) - 1
 
 
 def _pieces() -> Column:
-    """Array of ``struct(level, piece)``: the largest aligned pieces that make up the lines from ``lo`` to ``hi``.
+    """Array of ``struct(level, piece)``: the largest aligned pieces that make up the narrowest ones from ``a`` up to but not with ``b``.
 
     At most 2^9 of each level, however long the range is.
     """
-    first = lambda level: F.shiftright(F.col("lo") + F.lit((1 << BITS * level) - 1), BITS * level)
-    end = lambda level: F.shiftright(F.col("hi") + F.lit(1), BITS * level)
+    first = lambda level: F.shiftright(F.col("a") + F.lit((1 << BITS * level) - 1), BITS * level)
+    end = lambda level: F.shiftright("b", BITS * level)
     none = F.array().cast("array<bigint>")
     upto = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(none)
     parts = []
@@ -149,21 +149,26 @@ def _pieces() -> Column:
 def blocks_in_ranges(rows: DataFrame, ranges: DataFrame, keep: str) -> DataFrame:
     """``trace_id, block_id, <keep>``, distinct: blocks of ``rows`` (``trace_id, seq, chunk, block_id``) in a range (``trace_id, lo, hi, <keep>``).
 
-    Both ends belong to a range. The different blocks of each
-    aligned piece of lines are listed once per level; a range is a few pieces, which
-    meet the lists in an equi-join, so a long range costs no more than a short one.
+    Both ends belong to a range. The different blocks of each aligned piece are listed
+    once per level, for the narrowest pieces with their lines. A range is the two pieces
+    that hold its ends, whose lines are compared with it, and whole pieces between them,
+    few however long it is. Lists and pieces meet in one equi-join.
     """
-    seq = lambda level: F.shiftright("seq", BITS * level)
-    struct = lambda level: F.struct(F.lit(level).alias("level"), seq(level).alias("piece"))
-    lines_ = rows.select("trace_id", "block_id", F.lit(0).alias("level"), F.col("seq").alias("piece"))
+    at = lambda level: F.shiftright("seq", FIRST + BITS * level)
+    struct = lambda level: F.struct(F.lit(level).alias("level"), at(level).alias("piece"))
     # pieces no wider than a chunk are listed where the chunk lies
-    low = rows.groupBy("trace_id", "chunk", "block_id", seq(1).alias("_p")).agg(F.min("seq").alias("seq")).select("trace_id", "chunk", "block_id", "seq")
-    one = low.select("trace_id", "block_id", struct(1).alias("s")).select("trace_id", "block_id", "s.*")
-    per = low.groupBy("trace_id", "chunk", "block_id", seq(2).alias("_p")).agg(F.min("seq").alias("seq"))
-    more = per.select("trace_id", "block_id", F.explode(F.array(*[struct(i) for i in range(2, LEVELS)])).alias("s")).select("trace_id", "block_id", "s.*").distinct()
-    index = lines_.unionByName(one).unionByName(more)
-    a = ranges.where(F.col("lo") <= F.col("hi")).select("trace_id", keep, F.explode(_pieces()).alias("s")).select("trace_id", keep, "s.*").distinct()
-    return join_null_safe(index, a, ["trace_id", "level", "piece"], "inner").select("trace_id", "block_id", keep).distinct()
+    low = rows.groupBy("trace_id", "chunk", "block_id", at(0).alias("piece")).agg(F.collect_list("seq").alias("seqs"))
+    low = low.select("trace_id", "chunk", "block_id", F.lit(0).alias("level"), "piece", "seqs")
+    per = rows.groupBy("trace_id", "chunk", "block_id", at(1).alias("_q")).agg(F.min("seq").alias("seq"))
+    more = per.select("trace_id", "block_id", F.explode(F.array(*[struct(i) for i in range(1, LEVELS)])).alias("s")).select("trace_id", "block_id", "s.*").distinct()
+    index = low.drop("chunk").unionByName(more.withColumn("seqs", F.lit(None).cast("array<bigint>")))
+    cut = ranges.where(F.col("lo") <= F.col("hi")).select("trace_id", "lo", "hi", keep, (F.shiftright("lo", FIRST) + 1).alias("a"), F.shiftright("hi", FIRST).alias("b"))
+    ends = F.transform(F.array_distinct(F.array(F.col("a") - 1, F.col("b"))), lambda p: F.struct(F.lit(0).alias("level"), p.alias("piece")))
+    pieces = F.when(F.col("a") < F.col("b"), F.concat(ends, _pieces())).otherwise(ends)
+    want = cut.select("trace_id", "lo", "hi", keep, F.explode(pieces).alias("s")).select("trace_id", "lo", "hi", keep, "s.*")
+    hit = join_null_safe(index, want, ["trace_id", "level", "piece"], "inner")
+    inside = F.col("seqs").isNull() | F.exists("seqs", lambda x: x.between(F.col("lo"), F.col("hi")))
+    return hit.where(inside).select("trace_id", "block_id", keep).distinct()
 
 
 def latest_before(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
