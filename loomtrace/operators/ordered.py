@@ -126,24 +126,17 @@ FROM_START, FOREVER = -(1 << FIRST + BITS * (LEVELS - 1)), (1 << FIRST + BITS *
 
 
 def _pieces() -> Column:
-    """Array of ``struct(level, piece)``: the largest aligned pieces that make up the narrowest ones from ``a`` up to but not with ``b``.
+    """Array of the pieces of size ``level`` that a range takes: of -1 the two narrowest ones that hold its ends, of others
+    the aligned ones among the narrowest from ``a`` up to but not with ``b`` that no next larger one covers.
 
     At most 2^9 of each level, however long the range is.
     """
-    first = lambda level: F.shiftright(F.col("a") + F.lit((1 << BITS * level) - 1), BITS * level)
-    end = lambda level: F.shiftright("b", BITS * level)
-    none = F.array().cast("array<bigint>")
-    upto = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(none)
-    parts = []
-    for level in range(LEVELS):
-        a, b = first(level), end(level)
-        found = upto(a, b)
-        if level < LEVELS - 1:
-            # without what the next level covers
-            a2, b2 = first(level + 1), end(level + 1)
-            found = F.when(a2 < b2, F.concat(upto(a, a2 * (1 << BITS)), upto(b2 * (1 << BITS), b))).otherwise(found)
-        parts.append(F.arrays_zip(F.array_repeat(F.lit(level), F.size(found)).alias("level"), found.alias("piece")))
-    return F.concat(*parts)
+    upto = lambda x, y: f"if({x} < {y}, sequence({x}, {y} - 1), cast(array() as array<bigint>))"
+    first = lambda w: f"shiftright(a + shiftleft(1L, {w}) - 1, {w})"
+    w, v = f"level * {BITS}", f"level * {BITS} + {BITS}"
+    a, b, a2, b2 = first(w), f"shiftright(b, {w})", first(v), f"shiftright(b, {v})"
+    inner = f"concat({upto(a, f'{a2} * {1 << BITS}')}, {upto(f'{b2} * {1 << BITS}', b)})"
+    return F.expr(f"case when level < 0 then array_distinct(array(a - 1, b)) when level < {LEVELS - 1} and {a2} < {b2} then {inner} else {upto(a, b)} end")
 
 
 def blocks_in_ranges(rows: DataFrame, ranges: DataFrame, keep: str) -> DataFrame:
@@ -163,9 +156,9 @@ def blocks_in_ranges(rows: DataFrame, ranges: DataFrame, keep: str) -> DataFrame
     more = per.select("trace_id", "block_id", F.explode(F.array(*[struct(i) for i in range(1, LEVELS)])).alias("s")).select("trace_id", "block_id", "s.*").distinct()
     index = low.drop("chunk").unionByName(more.withColumn("seqs", F.lit(None).cast("array<bigint>")))
     cut = ranges.where(F.col("lo") <= F.col("hi")).select("trace_id", "lo", "hi", keep, (F.shiftright("lo", FIRST) + 1).alias("a"), F.shiftright("hi", FIRST).alias("b"))
-    ends = F.transform(F.array_distinct(F.array(F.col("a") - 1, F.col("b"))), lambda p: F.struct(F.lit(0).alias("level"), p.alias("piece")))
-    pieces = F.when(F.col("a") < F.col("b"), F.concat(ends, _pieces())).otherwise(ends)
-    want = cut.select("trace_id", "lo", "hi", keep, F.explode(pieces).alias("s")).select("trace_id", "lo", "hi", keep, "s.*")
+    sizes = F.when(F.col("a") < F.col("b"), F.sequence(F.lit(-1), F.lit(LEVELS - 1))).otherwise(F.array(F.lit(-1)))
+    want = cut.withColumn("level", F.explode(sizes)).withColumn("piece", F.explode(_pieces()))
+    want = want.select("trace_id", "lo", "hi", keep, F.greatest("level", F.lit(0)).alias("level"), "piece")
     hit = join_null_safe(index, want, ["trace_id", "level", "piece"], "inner")
     inside = F.col("seqs").isNull() | F.exists("seqs", lambda x: x.between(F.col("lo"), F.col("hi")))
     return hit.where(inside).select("trace_id", "block_id", keep).distinct()
