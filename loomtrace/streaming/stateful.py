@@ -44,7 +44,8 @@ def late(rows: DataFrame) -> DataFrame:
 
 def _in_order(pdfs: Iterator[pd.DataFrame], last: int, by: list[str]) -> tuple[pd.DataFrame, pd.DataFrame]:
     """(new lines in order, once each; lines not after ``last``) of a key's part of a micro-batch."""
-    pdf = pd.concat(list(pdfs)).sort_values(by).drop_duplicates("seq")
+    # numbered anew: each Arrow batch has an index of its own from 0
+    pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(by).drop_duplicates("seq")
     return pdf[pdf["seq"] > last], pdf[pdf["seq"] <= last]
 
 

@@ -45,3 +45,32 @@ def test_batches(spark, tmp_path):
     pairs = Counter((t, e[i], x) for t, e in entered.items() for i in range(5, len(e)) for x in e[max(0, i - 10) : i + 1])
     got = S.on_time(spark.read.schema("trace_id string, block_id bigint, nbr bigint, late boolean").parquet(at("p")))
     assert Counter(tuple(r) for r in got.collect()) == pairs
+
+
+def small_batches(spark, f):
+    """``f()`` where a key's lines of a micro-batch come in several Arrow batches, as those of large traces do."""
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "7")
+    try:
+        return f()
+    finally:
+        spark.conf.set(conf, before)
+
+
+def test_several_arrow_batches_of_a_key(spark, tmp_path):
+    rng = random.Random(5)
+    events = [("a", i, rng.choice(["BBEnter", "StoreAddress"]), str(rng.randrange(4)), None, None) for i in range(100)]
+    for part in (events[:60], events):
+        rng.shuffle(rows := list(part))
+        spark.createDataFrame(rows, S.TRACE).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    at = lambda n: str(tmp_path / n)
+    small_batches(spark, lambda: S.to_files(S.writers(S.stream_trace(spark, at("in"), files_per_batch=1)), at("w"), at("w-state")).start().awaitTermination())
+    got, block, want = spark.read.schema(S.STORES).parquet(at("w")), None, []
+    for _, s, k, v, *_ in events:
+        if k == "BBEnter":
+            block = int(v)
+        elif block is not None:
+            want.append((s, int(v), block))
+    assert sorted((r.seq, r.addr, r.writer) for r in S.on_time(got).collect()) == want
+    assert sorted((r.seq, r.addr) for r in S.late(got).select("seq", "addr").collect()) == [(s, int(v) if k == "StoreAddress" else None) for _, s, k, v, *_ in events[:60]]
