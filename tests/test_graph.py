@@ -134,3 +134,11 @@ def test_invariants(spark):
     again = G.pruned_kernels(once.selectExpr("kernel_id", "explode(blocks) block_id"), blocks, edges)
     assert {(r.kernel_id, tuple(r.blocks)) for r in again.collect()} == {(r.kernel_id, tuple(r.blocks)) for r in once.collect() if r.blocks}
     assert G.verify_kernels(kernels.limit(0), blocks, edges).count() == 0
+
+
+def test_closure_gathers_only_edges_within(spark):
+    k = spark.createDataFrame([(1, b) for b in range(40)] + [(2, b) for b in range(0, 40, 2)], "kernel_id bigint, block_id bigint")
+    e = spark.createDataFrame([(b, (b + 1) % 40, "succ") for b in range(40)] + [(0, 2, "ret"), (2, 0, "call"), (0, 999, "succ")], "src bigint, dst bigint, kind string")
+    # neither functions nor blocks around are read, and edges that leave the kernel fall away before they are gathered
+    assert {tuple(r) for r in G.reachable_blocks(k, None, e).collect()} == {(1, a, b) for a in range(40) for b in range(40)} | {(2, 2, 0)}
+    assert "term_kind" not in G.reachable_blocks(k, None, e)._jdf.queryExecution().executedPlan().toString()
