@@ -292,7 +292,7 @@ def kernel_entrances(kernels: DataFrame, blocks: DataFrame, edges: DataFrame) ->
 
 
 def self_reachable_blocks(kernels: DataFrame, blocks: DataFrame, edges: DataFrame) -> DataFrame:
-    return _per_kernel(_graphs(kernels, blocks, edges), lambda g, m: [(b,) for b in sorted(self_reachable(g, m))], "block_id bigint")
+    return _per_kernel(_inner(kernels, edges), lambda g, m: [(b,) for b in sorted(self_reachable(g, m))], "block_id bigint")
 
 
 def reachable_blocks(kernels: DataFrame, blocks: DataFrame, edges: DataFrame) -> DataFrame:

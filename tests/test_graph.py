@@ -141,4 +141,5 @@ def test_closure_gathers_only_edges_within(spark):
     e = spark.createDataFrame([(b, (b + 1) % 40, "succ") for b in range(40)] + [(0, 2, "ret"), (2, 0, "call"), (0, 999, "succ")], "src bigint, dst bigint, kind string")
     # neither functions nor blocks around are read, and edges that leave the kernel fall away before they are gathered
     assert {tuple(r) for r in G.reachable_blocks(k, None, e).collect()} == {(1, a, b) for a in range(40) for b in range(40)} | {(2, 2, 0)}
+    assert {tuple(r) for r in G.self_reachable_blocks(k, None, e).collect()} == {(1, b) for b in range(40)} | {(2, 0), (2, 2)}
     assert "term_kind" not in G.reachable_blocks(k, None, e)._jdf.queryExecution().executedPlan().toString()
