@@ -143,3 +143,19 @@ def test_closure_gathers_only_edges_within(spark):
     assert {tuple(r) for r in G.reachable_blocks(k, None, e).collect()} == {(1, a, b) for a in range(40) for b in range(40)} | {(2, 2, 0)}
     assert {tuple(r) for r in G.self_reachable_blocks(k, None, e).collect()} == {(1, b) for b in range(40)} | {(2, 0), (2, 2)}
     assert "term_kind" not in G.reachable_blocks(k, None, e)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exits_are_unfolded_last(spark):
+    for i in range(3):
+        cases = [random_case(random.Random(100 * i + j)) for j in range(20)]
+        k, b, e = tables(spark, cases)
+        df = G.kernel_exits(k, b, e)
+        want = set()
+        for n, c in enumerate(cases):
+            m = Model(c)
+            out = {d for x in m.m for d in m.out(x, "succ")} | {s for x in m.m if m.info[x][2] == "ret" for s in m.sites(m.info[x][0])}
+            want |= {(n, n * 100 + x) for x in out - m.m}
+        got = [tuple(r) for r in df.collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "HashAggregate" not in plan[: plan.index("explode(CASE")]
