@@ -157,5 +157,9 @@ def test_exits_are_unfolded_last(spark):
             want |= {(n, n * 100 + x) for x in out - m.m}
         got = [tuple(r) for r in df.collect()]
         assert len(got) == len(set(got)) and set(got) == want
+        counts = {}
+        for n, _ in want:
+            counts[n] = counts.get(n, 0) + 1
+        assert {r.kernel_id: r.exits for r in G.exit_counts(k, b, e).where("exits > 0").collect()} == counts
         plan = df._jdf.queryExecution().sparkPlan().toString()
         assert "HashAggregate" not in plan[: plan.index("explode(CASE")]
