@@ -74,3 +74,14 @@ def test_several_arrow_batches_of_a_key(spark, tmp_path):
             want.append((s, int(v), block))
     assert sorted((r.seq, r.addr, r.writer) for r in S.on_time(got).collect()) == want
     assert sorted((r.seq, r.addr) for r in S.late(got).select("seq", "addr").collect()) == [(s, int(v) if k == "StoreAddress" else None) for _, s, k, v, *_ in events[:60]]
+
+
+def test_several_arrow_batches_of_a_cell(spark, tmp_path):
+    rng = random.Random(6)
+    stores = [("a", i, 3, rng.randrange(3), False) for i in range(60)]
+    rng.shuffle(rows := list(stores))
+    at = lambda n: str(tmp_path / n)
+    spark.createDataFrame(rows, S.STORES).coalesce(1).write.parquet(at("in"))
+    small_batches(spark, lambda: S.to_files(S.writer_changes(spark.readStream.schema(S.STORES).parquet(at("in"))), at("c"), at("c-state")).start().awaitTermination())
+    got = S.on_time(spark.read.schema(S.STORES).parquet(at("c"))).collect()
+    assert sorted(tuple(r) for r in got) == [y[:4] for x, y in zip(stores, stores[1:]) if x[3] != y[3]]
