@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +67,12 @@ def block_counts(stream: DataFrame, delay: str = "60 days") -> DataFrame:
 STORES = "trace_id string, seq bigint, addr bigint, writer bigint, late boolean"
 
 
+def _numbers(pdfs: Iterator[pd.DataFrame], *columns: str) -> tuple[pd.DataFrame, list[np.ndarray]]:
+    """A key's part of a micro-batch, its rows numbered anew, and columns of it without nulls as arrays."""
+    pdf = pd.concat(list(pdfs), ignore_index=True)
+    return pdf, [pdf[c].to_numpy("int64") for c in columns]
+
+
 def writers(stream: DataFrame) -> DataFrame:
     """``trace_id, seq, addr, writer, late``: each store with the last block entered before it. State: one block a trace.
 
@@ -74,41 +81,72 @@ def writers(stream: DataFrame) -> DataFrame:
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         block, last = state.get if state.exists else (None, -1)
-        pdf, old = _in_order(pdfs, last, ["seq", "k"])
-        if len(old):
-            addr = old["value"].where(old["k"] == "StoreAddress").astype("Int64")
-            yield pd.DataFrame({"trace_id": key[0], "seq": old["seq"], "addr": addr, "writer": pd.array([None] * len(old), dtype="Int64"), "late": True})
-        if len(pdf):
-            last = int(pdf["seq"].iloc[-1])
-            entered = pdf["value"].where(pdf["k"] == "BBEnter").astype("Int64").ffill()
-            if block is not None:
-                entered = entered.fillna(block)
-            block = None if pd.isna(entered.iloc[-1]) else int(entered.iloc[-1])
-            state.update((block, last))
-            out = pdf[(pdf["k"] == "StoreAddress") & entered.notna()]
-            yield pd.DataFrame({"trace_id": key[0], "seq": out["seq"], "addr": out["value"], "writer": entered.loc[out.index].astype("int64"), "late": False})
-
-    rows = _lines(stream, ["BBEnter", "StoreAddress"]).select("trace_id", "seq", "k", "value")
+        pdf, (seq, value) = _numbers(pdfs, "seq", "value")
+        enters = pdf["enters"].to_numpy(bool)
+        # by seq; of copies an entry first, then the greatest value
+        at = np.lexsort((~value, ~enters, seq))
+        at = at[np.append(True, np.diff(seq[at]) != 0)]
+        cut = np.searchsorted(seq[at], last, "right")
+        if cut:
+            old = at[:cut]
+            addr = pd.arrays.IntegerArray(value[old], enters[old])
+            yield pd.DataFrame({"trace_id": key[0], "seq": seq[old], "addr": addr, "writer": pd.array([None] * cut, dtype="Int64"), "late": True})
+        if cut < len(at):
+            seq, value, enters = seq[at[cut:]], value[at[cut:]], enters[at[cut:]]
+            entry = np.maximum.accumulate(np.where(enters, np.arange(len(seq)), -1))
+            writer = np.where(entry < 0, 0 if block is None else block, value[entry])
+            out = ~enters if block is not None else ~enters & (entry >= 0)
+            state.update((int(writer[-1]) if block is not None or entry[-1] >= 0 else None, int(seq[-1])))
+            yield pd.DataFrame({"trace_id": key[0], "seq": seq[out], "addr": value[out], "writer": writer[out], "late": False})
+
+    rows = _lines(stream, ["BBEnter", "StoreAddress"]).select("trace_id", "seq", (F.col("k") == "BBEnter").alias("enters"), "value")
     return rows.groupBy("trace_id").applyInPandasWithState(step, STORES, "block bigint, last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def writer_changes(stores: DataFrame) -> DataFrame:
-    """Of a stream of ``writers`` rows those whose writer is not that of the cell's store before, and the late ones. State: one writer a cell."""
+#: Groups that the cells are parted into: a group costs Python as much as thousands of rows, and most cells have few.
+BUCKETS = 1 << 10
+_CELL = np.dtype([("trace", "i4"), ("addr", "i8"), ("writer", "i8"), ("last", "i8")])
+
+
+def writer_changes(stores: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Of a stream of ``writers`` rows those whose writer is not that of the cell's store before, and the late ones. State: one writer a cell.
+
+    Cells are worked on by the bucket, a hash of trace and address, and held in one
+    state per bucket: its traces, and 28 bytes a cell. A micro-batch writes the states of
+    the buckets that it has stores of. ``buckets`` is fixed for a checkpoint. Rows without
+    an address or a writer, as late ones of ``writers``, take no part.
+    """
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        writer, last = state.get if state.exists else (None, -1)
-        pdf, old = _in_order(pdfs, last, ["seq"])
-        if len(old):
-            yield old[["trace_id", "seq", "addr", "writer"]].assign(late=True)
-        if len(pdf):
-            before = pdf["writer"].shift(1).astype("Int64")
-            if writer is not None:
-                before.iloc[0] = writer
-            state.update((int(pdf["writer"].iloc[-1]), int(pdf["seq"].iloc[-1])))
-            changed = (before.notna() & (before != pdf["writer"])).to_numpy(dtype=bool)
-            yield pdf[changed][["trace_id", "seq", "addr", "writer"]].assign(late=False)
-
-    return stores.groupBy("trace_id", "addr").applyInPandasWithState(step, STORES, "writer bigint, last bigint", "append", GroupStateTimeout.NoTimeout)
+        names, cells = state.get if state.exists else ([], b"")
+        cells, known = np.frombuffer(cells, _CELL), len(names)
+        pdf, (addr, seq, writer) = _numbers(pdfs, "addr", "seq", "writer")
+        # numbers of traces, -1 for that without an id; those held keep theirs
+        trace, names = pd.factorize(np.array([*names, *pdf["trace_id"]], dtype=object))
+        rows = np.empty(len(cells) + len(pdf), _CELL)
+        rows[: len(cells)] = cells
+        for name, x in (("trace", trace[known:]), ("addr", addr), ("last", seq), ("writer", writer)):
+            rows[name][len(cells) :] = x
+        # what is held of a cell lies among its stores as the last one worked on; of copies the least writer counts
+        new = np.arange(len(rows)) >= len(cells)
+        at = np.lexsort((rows["writer"], new, rows["last"], rows["addr"], rows["trace"]))
+        rows, new = rows[at], new[at]
+        again = lambda x: np.append(False, (x["trace"][1:] == x["trace"][:-1]) & (x["addr"][1:] == x["addr"][:-1]))
+        copy = again(rows) & new & np.append(False, (rows["last"][1:] == rows["last"][:-1]) & new[:-1])
+        rows, new = rows[~copy], new[~copy]
+        cell = np.cumsum(~again(rows)) - 1
+        last = np.full(cell[-1] + 1, np.iinfo("int64").min)
+        last[cell[~new]] = rows["last"][~new]
+        late = new & (rows["last"] <= last[cell])
+        done, new = rows[~late], new[~late]
+        same = again(done)
+        changed = done[new & same & np.append(False, done["writer"][1:] != done["writer"][:-1])]
+        state.update((names.tolist(), done[np.append(~same[1:], True)].tobytes()))
+        out, names = np.concatenate([rows[late], changed]), np.append(names, None)
+        yield pd.DataFrame({"trace_id": names[out["trace"]], "seq": out["last"], "addr": out["addr"], "writer": out["writer"], "late": np.arange(len(out)) < late.sum()})
+
+    rows = stores.where("seq is not null and addr is not null and writer is not null").select("trace_id", "seq", "addr", "writer", F.expr(f"pmod(xxhash64(trace_id, addr), {buckets})").alias("bucket"))
+    return rows.groupBy("bucket").applyInPandasWithState(step, STORES, "traces array<string>, cells binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def trailing_pairs(stream: DataFrame, radius: int = 5) -> DataFrame:

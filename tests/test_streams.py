@@ -3,6 +3,9 @@
 import random
 from collections import Counter
 
+from compare import same
+
+from loomtrace.plans import streams
 from loomtrace.streaming import stateful as S
 
 
@@ -85,3 +88,40 @@ def test_several_arrow_batches_of_a_cell(spark, tmp_path):
     small_batches(spark, lambda: S.to_files(S.writer_changes(spark.readStream.schema(S.STORES).parquet(at("in"))), at("c"), at("c-state")).start().awaitTermination())
     got = S.on_time(spark.read.schema(S.STORES).parquet(at("c"))).collect()
     assert sorted(tuple(r) for r in got) == [y[:4] for x, y in zip(stores, stores[1:]) if x[3] != y[3]]
+
+
+def test_many_cells_in_few_states(spark, tmp_path):
+    rng, at = random.Random(7), lambda n: str(tmp_path / n)
+    addrs = [-(1 << 63), (1 << 63) - 1, *range(500)]
+    batches = [[(rng.choice(["a", "b", None]), rng.randrange(b * 400, b * 400 + 900), rng.choice(addrs), rng.randrange(3), False) for _ in range(4000)] for b in range(3)]
+    cells, want = {}, Counter()
+    for rows in batches:
+        spark.createDataFrame(rows, S.STORES).coalesce(1).write.mode("append").parquet(at("in"))
+        seen, held = {}, dict(cells)
+        # of copies in a micro-batch the least writer counts
+        for t, s, a, w, _ in sorted(rows, key=lambda r: (r[1], r[3])):
+            if s in seen.setdefault((t, a), set()):
+                continue
+            seen[t, a].add(s)
+            if (t, a) in held and s <= held[t, a][0]:
+                want[t, s, a, w, True] += 1
+                continue
+            if cells.get((t, a), (s, w))[1] != w:
+                want[t, s, a, w, False] += 1
+            cells[t, a] = (s, w)
+    stores = spark.readStream.schema(S.STORES).option("maxFilesPerTrigger", 1).parquet(at("in"))
+    query = S.to_files(S.writer_changes(S.on_time(stores), buckets=8), at("c"), at("c-state")).start()
+    query.awaitTermination()
+    assert Counter(tuple(r) for r in spark.read.schema(S.STORES).parquet(at("c")).collect()) == want
+    assert sum(1 for w in want if w[4]) > 100 and len(cells) > 1000
+    # a group in Python for each cell would not end on large tables
+    assert query.lastProgress.stateOperators[0].numRowsTotal == 8
+
+
+def test_writer_changes_of_odd_lines(spark, tmp_path):
+    rng, folder = random.Random(9), str(tmp_path / "t")
+    # copies that differ, 64-bit values, unreadable ones, lines without seq, a trace without an id
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(400)]), None, rng.choice(["1", "0X2", "0x2", "-3", "0xFFFFFFFFFFFFFFFF", "9223372036854775807", "x", None]), None, None) for _ in range(3000)]
+    rows = [(t, s, "BBEnter" if s is None or s % 3 else "StoreAddress", *more) for t, s, _, *more in rows]
+    spark.createDataFrame(rows, S.TRACE).coalesce(2).write.parquet(f"{folder}/trace.parquet")
+    assert same(streams.QUERIES["stream_writer_changes"](spark, folder), streams.ORACLE["stream_writer_changes"], folder) == ""
