@@ -163,3 +163,15 @@ def test_exits_are_unfolded_last(spark):
         assert {r.kernel_id: r.exits for r in G.exit_counts(k, b, e).where("exits > 0").collect()} == counts
         plan = df._jdf.queryExecution().sparkPlan().toString()
         assert "HashAggregate" not in plan[: plan.index("explode(CASE")]
+
+
+def test_verify_gathers_no_functions(spark, monkeypatch):
+    """Members without a row in ``blocks`` count as in SQL; a kernel's row holds no blocks of the functions around."""
+    monkeypatch.setattr(G, "_graphs", None)
+    # a function of 40 blocks in a row, of which block 5 is a member; 90 and 91 are a cycle of blocks that have no row, 92 leads away
+    b = spark.createDataFrame([(n, 1, n == 0, "br") for n in range(40)], "block_id bigint, func_id bigint, is_entry boolean, term_kind string")
+    e = spark.createDataFrame([(n, n + 1, "succ") for n in range(39)] + [(90, 91, "succ"), (91, 90, "succ"), (92, None, "succ")], "src bigint, dst bigint, kind string")
+    k = spark.createDataFrame([(1, 5), (2, 90), (2, 91), (3, 0), (3, 5), (4, 92), (5, 5), (5, 7)], "kernel_id bigint, block_id bigint")
+    got = {r.kernel_id: (r.valid, r.entrances, r.conditionals, r.epilogue, r.exits) for r in G.verify_kernels(k, b, e).collect()}
+    assert got == {1: (False, 1, 1, False, 1), 2: (True, 0, 0, False, 0), 3: (False, 0, 2, False, 2), 4: (False, 0, 1, False, 1), 5: (False, 1, 2, False, 2)}
+    assert sorted(map(tuple, G.kernel_entrances(k, b, e).collect())) == [(1, 5), (5, 5)]
