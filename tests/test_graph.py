@@ -1,8 +1,13 @@
 """Kernel graph operators against definitions by brute force."""
 
+import os
 import random
+import re
+
+import pytest
 
 from loomtrace.operators import graph as G
+from loomtrace.plans import flow
 
 
 def random_case(rng):
@@ -175,3 +180,11 @@ def test_verify_gathers_no_functions(spark, monkeypatch):
     got = {r.kernel_id: (r.valid, r.entrances, r.conditionals, r.epilogue, r.exits) for r in G.verify_kernels(k, b, e).collect()}
     assert got == {1: (False, 1, 1, False, 1), 2: (True, 0, 0, False, 0), 3: (False, 0, 2, False, 2), 4: (False, 0, 1, False, 1), 5: (False, 1, 2, False, 2)}
     assert sorted(map(tuple, G.kernel_entrances(k, b, e).collect())) == [(1, 5), (5, 5)]
+
+
+def test_members_are_made_distinct_once(spark):
+    folder = os.environ.get("TEST_DATA", "/root/testdata/sf0.001")
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    # with the catalogue's other columns there is a second shuffle in every place that reads it
+    assert not re.search(r"Aggregate \[[^\]]*trace_id", flow.kernel_exits(spark, folder)._jdf.queryExecution().optimizedPlan().toString())
